@@ -1,12 +1,15 @@
 """The queries op1 to op10 and their SQL; operators that SQL can't express are tested against brute force instead."""
 
-from . import licenses, media, sharding
+from . import bpe, licenses, media, sharding, topk
 
 QUERIES = {
     "op4_media_columns": media.query,
+    "op5_threshold_topk": topk.query,
     "op7_sharding": sharding.query,
+    "op8_byte_bpe": bpe.query,
     "op10_license_scan": licenses.query,
 }
 ORACLES = {
+    "op5_threshold_topk": topk.ORACLE,
     "op10_license_scan": licenses.oracle(),
 }
