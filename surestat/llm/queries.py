@@ -1,8 +1,9 @@
 """The queries op1 to op10 and their SQL; operators that SQL can't express are tested against brute force instead."""
 
-from . import bpe, licenses, media, sharding, topk
+from . import bpe, licenses, media, packing, sharding, topk
 
 QUERIES = {
+    "op3_best_fit_packing": packing.query,
     "op4_media_columns": media.query,
     "op5_threshold_topk": topk.query,
     "op7_sharding": sharding.query,
