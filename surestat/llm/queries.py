@@ -1,12 +1,13 @@
 """The queries op1 to op10 and their SQL; operators that SQL can't express are tested against brute force instead."""
 
-from . import bpe, dedup, licenses, media, packing, sharding, topk
+from . import bpe, dedup, langid, licenses, media, packing, sharding, topk
 
 QUERIES = {
     "op2_near_duplicates": dedup.query,
     "op3_best_fit_packing": packing.query,
     "op4_media_columns": media.query,
     "op5_threshold_topk": topk.query,
+    "op6_language_id": langid.query,
     "op7_sharding": sharding.query,
     "op8_byte_bpe": bpe.query,
     "op10_license_scan": licenses.query,
