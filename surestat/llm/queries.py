@@ -1,6 +1,6 @@
 """The queries op1 to op10 and their SQL; operators that SQL can't express are tested against brute force instead."""
 
-from . import bpe, dedup, langid, licenses, media, packing, sharding, topk
+from . import bpe, dedup, langid, licenses, media, packing, pii, sharding, topk
 
 QUERIES = {
     "op2_near_duplicates": dedup.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op7_sharding": sharding.query,
     "op8_byte_bpe": bpe.query,
+    "op9_personal_data": pii.query,
     "op10_license_scan": licenses.query,
 }
 ORACLES = {
     "op5_threshold_topk": topk.ORACLE,
+    "op9_personal_data": pii.query,
     "op10_license_scan": licenses.oracle(),
 }
