@@ -7,7 +7,7 @@ together; a token outside any segment is of kind `none`. Tokens without such a c
 short runs that are solved apart, which is exact. The added kind is `secret`; added spans never overlap base spans.
 
 Learning takes at most TRAIN_DOCS texts that hold such characters (smallest hash first, at most TRAIN_BYTES bytes each), with the
-base spans and assignments to secret-like names as labels. Finding covers every whole text.
+base spans, assignments to secret-like names and public key formats as labels. Finding covers every whole text.
 
 Defined results: null and empty texts have no spans; equal spans of one kind are reported once; n_* count base spans; repeated rows each give their
 own row; an empty table gives an empty result; further columns are ignored.
@@ -33,10 +33,11 @@ TRAIN_DOCS, TRAIN_BYTES, EPOCHS, RATE = 1_500, 20_000, 4, 0.3
 # The base patterns, and the characters of an e-mail address before its '@'.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # same matches; a run of digits is tried once
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET_NAMES = re.compile(r"(?i)(password|passwd|pwd|secret|token|api_?key|access_?key)")
+SECRET_SHAPES = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abp]-[0-9A-Za-z-]{10,}")
 
 _DIGITS = re.compile("[0-9]")
 _TRIGGER = re.compile("[0-9@=]")
@@ -106,7 +107,7 @@ class Run:
         self.n = len(tokens)
         self.segments: list[tuple[int, int, int, int, tuple[str, ...]]] = []
         for i in range(self.n):
-            said = (before if i == 0 else text[tokens[max(0, i - 2)][0] : tokens[i][0]])[-40:]
+            said = f"{before} {text[tokens[max(0, i - 3)][0] : tokens[i][0]]}"[-40:]
             for j in range(i + 1, min(self.n, i + LONGEST) + 1):
                 begin, end = core(text, tokens[i][0], tokens[i][1])[0], core(text, *tokens[j - 1])[1]
                 if j - i > 1 and text[tokens[i][0]] == "(":
@@ -223,7 +224,7 @@ def gold(run: Run, text: str, spans: dict[tuple[int, int], str]) -> list[tuple[i
         if i < done:
             continue
         kind = spans.get((begin, end))
-        if kind is None and j - i == 1 and "named" in features and end - begin >= 8:
+        if kind is None and j - i == 1 and end - begin >= 8 and ("named" in features or SECRET_SHAPES.fullmatch(text, begin, end)):
             kind = "secret"
         if kind:
             out.append((x, KINDS.index(kind)))

@@ -1,8 +1,9 @@
 """The queries op1 to op10 and their SQL; operators that SQL can't express are tested against brute force instead."""
 
-from . import bpe, dedup, langid, licenses, media, packing, pii, sharding, topk
+from . import bpe, dedup, langid, licenses, media, packing, pii, quality, sharding, topk
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_near_duplicates": dedup.query,
     "op3_best_fit_packing": packing.query,
     "op4_media_columns": media.query,
