@@ -1,23 +1,463 @@
-"""Queries of the confidence engine, by name, and the SQL that gives the same rows."""
+"""Queries of the confidence engine, by name, and the SQL that gives the same rows. Doubles are rounded on both sides."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import views
+from ..functions import text as T
+from ..operators import evaluate, expansion, fusion, graph, linking, sampling, tokens
+from ..sources import tables
+from .views import in_spark, in_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+STEPS = 6
+
+
+def query(sql: str | None = None, recursive: str = "") -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = in_sql(sql, recursive)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# ---- sampling
+
+@query("SELECT index, disease, round(count(DISTINCT sample_id) / 100.0e0, 6) AS uq FROM {samples} GROUP BY 1, 2 HAVING count(DISTINCT sample_id) > 5")
+def sampling_frequency(spark, d):
+    return rounded(sampling.above_floor(sampling.frequency(in_spark(spark, d, "samples"))))
+
+
+_CASE = "CASE WHEN sample_id % 2 = 0 THEN upper(disease) ELSE disease END"
+
+
+def _mixed_case(spark, d):
+    return in_spark(spark, d, "samples").withColumn("disease", F.expr(_CASE))
+
+
+@query(
+    f"""SELECT index, min(struct_pack(s := sample_id, o := ord, d := x)).d AS disease, count(DISTINCT x) AS n_spellings, round(count(DISTINCT sample_id) / 100.0e0, 6) AS uq
+        FROM (SELECT *, {_CASE} AS x FROM {{samples}}) GROUP BY index, lower(trim(disease))"""
+)
+def cluster_casefold(spark, d):
+    return rounded(sampling.casefold_clusters(_mixed_case(spark, d))).select("index", "disease", F.size("spellings").cast("long").alias("n_spellings"), "uq")
+
+
+@query(ORACLES["cluster_casefold"].replace("count(DISTINCT x) AS n_spellings, ", ""))
+def cluster_leader(spark, d):
+    """The sequential fold; without entailments it must equal grouping by case-folded names."""
+    return rounded(sampling.leader_clusters(_mixed_case(spark, d)))
+
+
+@query(
+    """SELECT DISTINCT a.index, a.n AS a, b.n AS b FROM (SELECT DISTINCT index, lower(trim(disease)) AS n FROM {samples} WHERE index < 20) a
+       JOIN (SELECT DISTINCT index, lower(trim(disease)) AS n FROM {samples} WHERE index < 20) b ON a.index = b.index AND a.n < b.n"""
+)
+def entailment_pairs(spark, d):
+    """Judging every distinct pair of the notes of twenty suppliers once."""
+    return sampling.name_pairs(in_spark(spark, d, "samples").where("index < 20"))
+
+
+# ---- token scores
+
+@query(
+    """SELECT index, item, round(exp(avg(ln(prob + 1e-9))), 6) AS uq_pure, round(product(prob), 6) AS uq_seq_prob, round(-avg(entropy), 6) AS uq_neg_ent,
+              round(max(ln(prob + 1e-9)), 6) AS uq_max_logprob, round(min(ln(prob + 1e-9)), 6) AS uq_min_logprob FROM {trace} GROUP BY 1, 2"""
+)
+def token_confidence(spark, d):
+    return rounded(tokens.confidence(in_spark(spark, d, "trace"), "index", "item"))
+
+
+@query("SELECT index, item, round(coalesce(sum(prob) FILTER (entailed) / nullif(sum(prob), 0), 0), 6) AS uq_ccp FROM {trace} GROUP BY 1, 2")
+def ccp_ratio(spark, d):
+    return rounded(tokens.claim_probability(in_spark(spark, d, "trace"), "index", "item"))
+
+
+# ---- fusion
+
+_BOUNDS = "SELECT *, coalesce(min(kg_only) FILTER (kg_only > 0) OVER w, 0) AS lo, coalesce(max(kg_only) FILTER (kg_only > 0) OVER w, 0) AS hi FROM {scored} WINDOW w AS (PARTITION BY index)"
+_MINMAX = "CASE WHEN hi > lo THEN least(1, greatest(0, (kg_only - lo) / (hi - lo))) WHEN hi > 0 THEN 1e0 ELSE 0e0 END"
+
+
+@query(f"SELECT index, disease, round({_MINMAX}, 6) AS scaled FROM ({_BOUNDS})")
+def minmax_local(spark, d):
+    return rounded(fusion.min_max_local(in_spark(spark, d, "scored"), "index", "kg_only", "scaled").select("index", "disease", "scaled"))
+
+
+@query("SELECT index, disease, round(CASE WHEN uq_pure < 0.01e0 THEN 0 ELSE kg_only END, 6) AS kg_only, round(0.25e0 * CASE WHEN uq_pure < 0.01e0 THEN 0 ELSE kg_only END + 0.75e0 * uq_pure, 6) AS uq_kg FROM {scored}")
+def linear_fusion(spark, d):
+    return rounded(fusion.linear(in_spark(spark, d, "scored")).select("index", "disease", "kg_only", "uq_kg"))
+
+
+@query(
+    """SELECT index, disease, round(1.0e0 / (10 + rank() OVER (PARTITION BY index ORDER BY e DESC))
+              + CASE WHEN e < 0.01e0 OR kg_only = 0 THEN 0 ELSE 1.0e0 / (10 + rank() OVER (PARTITION BY index ORDER BY kg_only DESC)) END, 6) AS uq_rrf
+       FROM (SELECT *, CASE WHEN is_expanded THEN uq_pure / 100 ELSE uq_pure END AS e FROM {scored})"""
+)
+def rrf_fusion(spark, d):
+    rows = in_spark(spark, d, "scored").withColumn("tf_logits_expanded", F.col("uq_pure") / 100)
+    return rounded(fusion.reciprocal_rank(rows).select("index", "disease", "uq_rrf"))
+
+
+# ---- evaluation
+
+_ALIGNED = "SELECT index, CASE WHEN r.key IS NULL THEN disease ELSE r.exact END AS item, max(uq_pure) AS score, bool_and(is_expanded) AS is_expanded, count(r.key) AS n FROM (SELECT *, lower(trim(disease)) AS key FROM {scored}) LEFT JOIN (SELECT index, lower(trim(item)) AS key, max(upper(item)) AS exact FROM {gains} GROUP BY 1, 2) r USING (index, key) GROUP BY 1, 2"
+
+
+def _gains(spark, d):
+    return sampling.above_floor(sampling.frequency(in_spark(spark, d, "samples"))).select("index", F.col("disease").alias("item"), F.col("uq").alias("gain"))
+
+
+def _spelt(spark, d):
+    return _gains(spark, d).select("index", F.upper("item").alias("disease"))
+
+
+@query(f"SELECT index, item, round(score, 6) AS score, is_expanded FROM ({_ALIGNED})")
+def align_max_and(spark, d):
+    rows = in_spark(spark, d, "scored").withColumn("score", F.col("uq_pure"))
+    return rounded(evaluate.by_aligned_name(rows, evaluate.aligned(rows, _spelt(spark, d))))
+
+
+@query("SELECT index, disease AS original, coalesce(r.exact, disease) AS aligned, CASE WHEN r.exact IS NULL THEN 'Unmatched' ELSE 'Exact' END AS status FROM (SELECT DISTINCT index, disease, lower(trim(disease)) AS key FROM {scored}) LEFT JOIN (SELECT index, lower(trim(item)) AS key, max(upper(item)) AS exact FROM {gains} GROUP BY 1, 2) r USING (index, key)")
+def alignment(spark, d):
+    return evaluate.aligned(in_spark(spark, d, "scored"), _spelt(spark, d))
+
+
+def _long(spark, d):
+    return evaluate.long_form(in_spark(spark, d, "scored"), ["uq_pure", "kg_only"]).select("index", "method", F.col("disease").alias("item"), "score")
+
+
+def _universe(spark, d):
+    return evaluate.universe(_long(spark, d), _gains(spark, d))
+
+
+@query("SELECT index, method, item, round(score, 6) AS score FROM {long}")
+def long_method_scores(spark, d):
+    return rounded(_long(spark, d))
+
+
+@query("SELECT index, disease, round(uq_pure, 6) AS uq_pure FROM {scored} WHERE NOT is_expanded AND index <= 50")
+def ignore_expansion(spark, d):
+    return rounded(evaluate.upto_index(evaluate.without_expansion(in_spark(spark, d, "scored")), 50).select("index", "disease", "uq_pure"))
+
+
+@query("SELECT index, method, item, round(gain, 6) AS gain, round(score, 6) AS score, predicted, in_reference FROM {universe}")
+def metric_universe(spark, d):
+    return rounded(_universe(spark, d))
+
+
+@query("SELECT index, method, round(ndcg_5, 6) AS ndcg_5, round(ndcg_10, 6) AS ndcg_10, round(ndcg_std, 6) AS ndcg_std FROM {ndcg}")
+def ndcg_at_k(spark, d):
+    return rounded(evaluate.ndcg(evaluate.judged(_universe(spark, d))))
+
+
+@query("SELECT index, method, round(kendall_tau_b, 6) AS kendall_tau_b FROM {tau}")
+def kendall_tau_b(spark, d):
+    return rounded(evaluate.kendall_tau_b(evaluate.judged(_universe(spark, d))))
+
+
+@query("SELECT index, method, round(mrr, 6) AS mrr FROM {hits}")
+def mrr(spark, d):
+    return rounded(evaluate.positional(evaluate.ranked(evaluate.judged(_universe(spark, d)))).select("index", "method", "mrr"))
+
+
+@query("SELECT index, method, round(rbo, 6) AS rbo FROM {rbo}")
+def rbo(spark, d):
+    return rounded(evaluate.rank_biased_overlap(evaluate.ranked(evaluate.judged(_universe(spark, d)))))
+
+
+@query("SELECT index, method, round(precision_5, 6) AS precision_5, round(precision_10, 6) AS precision_10, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10 FROM {hits}")
+def precision_recall_at_k(spark, d):
+    return rounded(evaluate.positional(evaluate.ranked(evaluate.judged(_universe(spark, d)))).drop("mrr"))
+
+
+_METRICS = ["ndcg_5", "ndcg_10", "ndcg_std", "rbo", "mrr", "recall_5", "recall_10", "precision_5", "precision_10", "kendall_tau_b"]
+
+
+@query("SELECT method, count(*) AS n, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in _METRICS) + ", round(stddev_samp(kendall_tau_b), 6) AS kendall_tau_b_sd FROM {metrics} GROUP BY 1")
+def method_summary(spark, d):
+    return rounded(evaluate.summary(evaluate.note_metrics(_long(spark, d), _gains(spark, d))))
+
+
+_OVERLAP = "SELECT index, coalesce(o, 0) AS overlap_ratio FROM (SELECT DISTINCT index FROM {gains}) LEFT JOIN (SELECT s.index, count(g.item) / CAST(count(*) AS DOUBLE) AS o FROM {scored} s LEFT JOIN {gains} g ON s.index = g.index AND s.disease = g.item GROUP BY 1) USING (index)"
+
+
+@query(f"SELECT index, round(overlap_ratio, 6) AS overlap_ratio FROM ({_OVERLAP})")
+def overlap_ratio(spark, d):
+    return rounded(evaluate.overlap_ratio(in_spark(spark, d, "scored").withColumnRenamed("disease", "item"), _gains(spark, d)))
+
+
+@query(f"SELECT round(coalesce(avg(overlap_ratio), 0), 6) AS mean_overlap FROM ({_OVERLAP})")
+def mean_overlap(spark, d):
+    return rounded(evaluate.mean_overlap(evaluate.overlap_ratio(in_spark(spark, d, "scored").withColumnRenamed("disease", "item"), _gains(spark, d))))
+
+
+@query(
+    """SELECT count(*) FILTER (f IS NOT NULL AND s IS NOT NULL) AS n_common, round(avg(s - f), 6) AS mean_difference, count(*) FILTER (f IS NULL) AS n_sliced_only, round(avg(s) FILTER (f IS NULL), 6) AS mean_sliced_only
+       FROM (SELECT index, item, gain AS f FROM {gains}) FULL JOIN (SELECT index, disease AS item, uq_pure AS s FROM {scored}) USING (index, item)"""
+)
+def full_against_sliced(spark, d):
+    full = _gains(spark, d).withColumnRenamed("gain", "score")
+    return rounded(evaluate.full_against_sliced(full, in_spark(spark, d, "scored").select("index", F.col("disease").alias("item"), F.col("uq_pure").alias("score"))))
+
+
+@query("SELECT index FROM {gains} UNION SELECT doc_id FROM labels")
+def note_indices(spark, d):
+    return evaluate.indices(_gains(spark, d), in_spark(spark, d, "labels").select(F.col("doc_id").alias("index")))
+
+
+# ---- text
+
+_LINE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(trim(line), '^([-*•]\\s*|[0-9]+[.)]\\s*)(.+)$', 2), '\\(.*?\\)|\\[.*?\\]', '', 'g'), '\\(.*$|\\[.*$', ''), '', ''), ' \"''')"
+
+
+@query(f"SELECT index, ord, disease FROM (SELECT index, CAST(ord - 1 AS INT) AS ord, {_LINE} AS disease FROM (SELECT index, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM {{lists}})) WHERE length(disease) > 1")
+def bullet_parse(spark, d):
+    return T.parsed_lists(in_spark(spark, d, "lists"), "text", "index")
+
+
+@query("SELECT p_partkey AS index, trim(regexp_extract(regexp_replace('12. ' || p_brand || ' secondary to ' || p_type || ' (x)', '^[-*•0-9.\\s]+', ''), '^(.*?)\\s+(?:due to|secondary to)', 1), ' \"''') AS name, trim(regexp_replace(p_name || ' (' || p_brand || ')', '\\s*\\(.*?\\)', '', 'g')) AS node_name FROM {part}")
+def clean_names(spark, d):
+    part = in_spark(spark, d, "part")
+    raw = F.concat(F.lit("12. "), "p_brand", F.lit(" secondary to "), "p_type", F.lit(" (x)"))
+    name = T.unquoted(T.without_explanation(T.without_brackets(T.without_bullet(raw))))
+    return part.select(F.col("p_partkey").alias("index"), name.alias("name"), T.without_round_brackets(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("node_name"))
+
+
+@query("SELECT index, min(ord) AS ord, arg_min(disease, (ord, disease)) AS disease FROM {samples} GROUP BY index, lower(disease)")
+def first_names(spark, d):
+    return T.first_of_each_name(in_spark(spark, d, "samples"), "index", "disease", "ord")
+
+
+@query("SELECT event_id AS index, CASE WHEN event_id % 3 = 0 THEN [CAST(event_id AS VARCHAR), 'b'] WHEN event_id % 3 = 1 THEN ['q'] ELSE [] END AS entities FROM events")
+def json_entities(spark, d):
+    rows = in_spark(spark, d, "events").select(F.col("event_id").alias("index"), "props")
+    listed = F.concat(F.lit('```json\n["'), F.col("index").cast("string"), F.lit(' (x)", "b [y]"]\n```'))
+    reply = F.when(F.col("index") % 3 == 0, listed).when(F.col("index") % 3 == 1, F.lit('Sure: ["q"] as asked')).otherwise(F.col("props"))
+    return rows.select("index", T.json_entities(reply).alias("entities"))
+
+
+@query()
+def section_removal(spark, d):
+    """Look-ahead is beyond DuckDB's expressions; hand-worked cases are in the tests."""
+    return in_spark(spark, d, "notes").select("index", T.without_plain_sections(F.col("text")).alias("text"))
+
+
+@query()
+def hospital_section_removal(spark, d):
+    return in_spark(spark, d, "notes").select("index", T.without_hospital_sections(F.col("text")).alias("text"))
+
+
+@query("SELECT index, regexp_replace(text, '\\n\\s*(Physical Exam|Physical Examination|PE|Admission PE|Pertinent Results)\\s*:.*$', '', 'is') AS text FROM {notes}")
+def slice_at_exam(spark, d):
+    return in_spark(spark, d, "notes").select("index", T.sliced_at_exam(F.col("text")).alias("text"))
+
+
+@query()
+def token_list_parse(spark, d):
+    """Sequential over tokens; tested by hand-worked cases."""
+    rows = in_spark(spark, d, "lists")
+    return tokens.token_lists(rows.select("index", F.split("text", r"(?<= )|(?=\n)|(?<=\n)").alias("tokens")))
+
+
+# ---- graph
+
+def _valid(spark, d):
+    return graph.valid_edges(in_spark(spark, d, "kg"))
+
+
+@query("SELECT * FROM {nodes}")
+def kg_nodes(spark, d):
+    return graph.nodes(_valid(spark, d))
+
+
+@query("SELECT * FROM {weighted}")
+def kg_edges_weighted(spark, d):
+    return graph.weighted_edges(_valid(spark, d))
+
+
+@query("SELECT * FROM {degree}")
+def kg_degree(spark, d):
+    return graph.degrees(graph.weighted_edges(_valid(spark, d)))
+
+
+@query("SELECT index, type FROM {nodes} WHERE type IN ('disease', 'effect/phenotype')")
+def expansion_targets(spark, d):
+    return graph.targets(graph.nodes(_valid(spark, d))).select("index", "type")
+
+
+@query("SELECT src, dst FROM {tree}")
+def kg_hierarchy(spark, d):
+    return graph.hierarchy(_valid(spark, d))
+
+
+@query("SELECT src, dst, round(q, 9) AS q FROM {q}")
+def transition_matrix(spark, d):
+    return rounded(graph.transitions(graph.weighted_edges(_valid(spark, d))), 9)
+
+
+_RANK = """ranks(k, index, rank) AS (
+        SELECT 0, index, 1.0e0 / (SELECT count(*) FROM {members}) FROM {members}
+        UNION ALL
+        SELECT min(k) + 1, index, 0.15e0 / (SELECT count(*) FROM {members}) + 0.85e0 * sum(x) FROM (
+            SELECT r.k, m.dst AS index, r.rank * m.q AS x FROM ranks r JOIN {moves} m ON r.index = m.src WHERE r.k < %d
+            UNION ALL
+            SELECT r.k, t.index, l.loose / (SELECT count(*) FROM {members}) FROM ranks r JOIN {members} t ON r.index = t.index
+                CROSS JOIN (SELECT sum(rank) AS loose FROM ranks WHERE index NOT IN (SELECT src FROM {moves})) l WHERE r.k < %d)
+        GROUP BY index)""" % (STEPS, STEPS)
+
+
+@query("SELECT index, round(-ln(rank), 6) AS specificity FROM ranks WHERE k = %d" % STEPS, _RANK)
+def pagerank_specificity(spark, d):
+    edges = _valid(spark, d)
+    tree = graph.hierarchy(edges)
+    ranks = graph.pagerank(tree, graph.hierarchy_nodes(tree, graph.nodes(edges)), STEPS, tolerance=None)
+    return rounded(graph.specificity(ranks))
+
+
+_P0 = "SELECT note, index, 1.0e0 / count(*) OVER (PARTITION BY note) AS prob FROM {starts} WHERE index IN (SELECT index FROM {nodes})"
+_WALK = f"""start AS ({_P0}), walk(k, note, index, p) AS (
+        SELECT 0, note, index, prob FROM start
+        UNION ALL
+        SELECT min(k) + 1, note, index, sum(p) FROM (
+            SELECT w.k, w.note, q.dst AS index, 0.8e0 * w.p * q.q AS p FROM walk w JOIN {{q}} q ON w.index = q.src WHERE w.k < {STEPS}
+            UNION ALL
+            SELECT m.k, s.note, s.index, 0.2e0 * s.prob FROM start s JOIN (SELECT note, min(k) AS k FROM walk GROUP BY note) m ON s.note = m.note WHERE m.k < {STEPS})
+        GROUP BY note, index)"""
+
+
+def _even_starts(spark, d):
+    known = in_spark(spark, d, "starts").join(graph.nodes(_valid(spark, d)).select("index"), "index", "left_semi")
+    n = known.groupBy("note").agg((F.lit(1.0) / F.count("*")).alias("prob"))
+    return known.join(n, "note")
+
+
+@query(f"SELECT note, index, round(p, 9) AS p FROM walk WHERE k = {STEPS}", _WALK)
+def rwr_fixed_k(spark, d):
+    q = graph.transitions(graph.weighted_edges(_valid(spark, d)))
+    return rounded(graph.walk_in_memory(q, _even_starts(spark, d), STEPS, 0.2, None), 9)
+
+
+@query(ORACLES["rwr_fixed_k"])
+def rwr_by_joins(spark, d):
+    q = graph.transitions(graph.weighted_edges(_valid(spark, d)))
+    return rounded(graph.walk(q, _even_starts(spark, d), STEPS, 0.2), 9)
+
+
+_ANCHORS = """known AS (SELECT s.note, s.index, e.embedding FROM {starts} s JOIN {nodes} n USING (index) LEFT JOIN (SELECT 'P' || CAST(vec_id AS VARCHAR) AS id, embedding FROM {embeddings}) e USING (id)),
+    parts AS (SELECT note, index, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM known WHERE embedding IS NOT NULL),
+    centre AS (SELECT note, i, avg(CAST(x AS DOUBLE)) AS c FROM parts GROUP BY 1, 2),
+    cosines AS (SELECT note, index, sum(x * CAST(c AS DOUBLE)) / nullif(sqrt(sum(CAST(x AS DOUBLE) * x)) * sqrt(sum(c * c)), 0) AS cos FROM parts JOIN centre USING (note, i) GROUP BY 1, 2),
+    weighed AS (SELECT note, index, coalesce((cos + 1) / 2, 1) AS "C", coalesce(ln(d.degree + 1), 1.0e0) AS "S" FROM known k LEFT JOIN cosines USING (note, index) LEFT JOIN {degree} d USING (index))"""
+
+
+@query('SELECT note, index, round("C", 6) AS "C", round("S", 6) AS "S", round("C" * "S", 6) AS "W", round("C" * "S" / sum("C" * "S") OVER (PARTITION BY note), 6) AS prob FROM weighed', _ANCHORS)
+def anchor_personalization(spark, d):
+    """Specificity stands in as ln(degree + 1)."""
+    edges = _valid(spark, d)
+    special = graph.degrees(graph.weighted_edges(edges)).select("index", F.log(F.col("degree") + 1).alias("specificity"))
+    vectors = in_spark(spark, d, "embeddings").select(F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("node_id"), F.col("embedding").alias("vec"))
+    return rounded(graph.anchors(in_spark(spark, d, "starts"), graph.nodes(edges), vectors, special))
+
+
+@query("SELECT a.index, round(CAST((SELECT count(*) FROM {degree} b WHERE b.degree < a.degree) AS DOUBLE) / (SELECT count(*) FROM {degree}), 6) AS share_below FROM {degree} a WHERE a.index >= 1000000")
+def percentile_rank(spark, d):
+    rows = graph.degrees(graph.weighted_edges(_valid(spark, d))).withColumn("note", F.lit(0))
+    return rounded(graph.share_below(rows, "note", "degree").where("index >= 1000000").select("index", "share_below"))
+
+
+# ---- linking and expansion
+
+_COSINES = """SELECT a.vec_id AS entity, b.vec_id AS index, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) /
+    (sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim
+    FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.vec_id >= 20"""
+
+
+def _near(spark, d):
+    rows = in_spark(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return linking.nearest(rows.where("vec_id < 20").withColumnRenamed("vec_id", "entity"), rows.where("vec_id >= 20").withColumnRenamed("vec_id", "index"))
+
+
+@query(f"SELECT entity, index, round(sim, 5) AS sim, CAST(row_number() OVER (PARTITION BY entity ORDER BY sim DESC, index) AS INT) AS rank FROM ({_COSINES}) QUALIFY rank <= 5")
+def entity_link_topk(spark, d):
+    return rounded(_near(spark, d), 5)
+
+
+@query(f"SELECT entity, arg_max(index, sim) AS index, round(max(sim), 5) AS sim FROM (SELECT * FROM ({_COSINES}) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY sim DESC, index) <= 5) WHERE sim >= 0.3 AND index % 3 <> 0 GROUP BY 1")
+def entity_link(spark, d):
+    """First match at threshold 0.3 whose node isn't divisible by 3, which stands in for entailment."""
+    near = _near(spark, d)
+    return rounded(linking.linked(near, near.where("index % 3 <> 0"), 0.3), 5)
+
+
+@query("SELECT index, round(count(DISTINCT node) / 10.0e0, 6) AS rate FROM (SELECT l_suppkey AS index, l_partkey % 10 AS node FROM lineitem) GROUP BY 1")
+def mapping_rate(spark, d):
+    rows = in_spark(spark, d, "lineitem").select(F.col("l_suppkey").alias("index"), (F.col("l_partkey") % 10).alias("node"))
+    return rounded(linking.mapping_rates(rows, rows.select("index").distinct().withColumn("total", F.lit(10))))
+
+
+_EXPANDED = f"""{_WALK}, scores AS (
+        SELECT w.note, w.index, greatest(0, w.p - 0.2e0 * coalesce(s.prob, 0)) / log10(d.degree + 10) AS score
+        FROM walk w LEFT JOIN start s USING (note, index) JOIN {{degree}} d USING (index) WHERE k = {STEPS}),
+    limits AS (SELECT note, coalesce(avg(score) FILTER (score > 0), 0) AS threshold FROM scores GROUP BY 1),
+    top AS (SELECT s.*, n.name, row_number() OVER (PARTITION BY note ORDER BY score DESC, index) AS rank FROM scores s JOIN {{nodes}} n USING (index)
+            WHERE n.type IN ('disease', 'effect/phenotype') AND NOT EXISTS (SELECT 1 FROM start g WHERE g.note = s.note AND g.index = s.index) QUALIFY rank <= 5),
+    names AS (SELECT note, lower(n.name) AS name FROM start s JOIN {{nodes}} n USING (index))"""
+
+
+@query("SELECT note, index, name AS disease, round(score, 9) AS score FROM top JOIN limits USING (note) WHERE score > threshold AND NOT EXISTS (SELECT 1 FROM names x WHERE x.note = top.note AND x.name = top.name) QUALIFY row_number() OVER (PARTITION BY note, name ORDER BY rank) = 1", _EXPANDED)
+def expansion_candidates(spark, d):
+    edges = _valid(spark, d)
+    plain = graph.weighted_edges(edges)
+    starts = _even_starts(spark, d)
+    nodes = graph.nodes(edges)
+    scores = expansion.corrected(graph.walk_in_memory(graph.transitions(plain), starts, STEPS, 0.2, None), starts, graph.degrees(plain))
+    made = starts.join(nodes, "index").select("note", "index", F.col("name").alias("disease"))
+    return rounded(expansion.candidates(scores, graph.targets(nodes), made, expansion.thresholds(scores), nodes), 9)
+
+
+@query("SELECT index, disease, round(uq_pure, 6) AS tf_logits_expanded FROM {scored} WHERE uq_pure >= 0.5")
+def forced_threshold(spark, d):
+    rows = in_spark(spark, d, "scored").withColumnRenamed("uq_pure", "tf_logits_expanded")
+    return rounded(expansion.forced(rows, "pure_logits", 0.5).select("index", "disease", "tf_logits_expanded"))
+
+
+@query("SELECT index, disease, (lower(disease) LIKE '%disease%' OR lower(disease) LIKE '%effect%' OR lower(disease) LIKE '%phenotype%') AS valid FROM (SELECT index, type AS disease FROM {nodes})")
+def mapped_type(spark, d):
+    return graph.nodes(_valid(spark, d)).select("index", F.col("type").alias("disease"), expansion.right_type(F.col("type")).alias("valid"))
+
+
+# ---- resumption
+
+@query("SELECT doc_id AS index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti_join(spark, d):
+    return tables.remaining(in_spark(spark, d, "documents").select(F.col("doc_id").alias("index")), in_spark(spark, d, "labels").select(F.col("doc_id").alias("index")))
 
 
-def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
+@query("SELECT doc_id AS index, CAST(NULL AS VARCHAR) AS disease, 0.0e0 AS uq FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'q' || CAST(quality AS VARCHAR), CAST(toxic AS DOUBLE) FROM labels")
+def placeholder_rows(spark, d):
+    found = in_spark(spark, d, "labels").select(F.col("doc_id").alias("index"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("disease"), F.col("toxic").cast("double").alias("uq"))
+    return expansion.with_placeholders(in_spark(spark, d, "documents").select(F.col("doc_id").alias("index")), found, {"uq": 0.0})
 
 
-def sampling_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item, part = _tables(spark, sf_dir, "lineitem", "part")
-    samples = item.join(part, item.l_partkey == part.p_partkey).select(F.col("l_suppkey").alias("note_id"), (F.col("l_orderkey") % 100).alias("sample_id"), F.col("p_name").alias("disease"))
-    scores = samples.groupBy("note_id", "disease").agg(F.round(F.count_distinct("sample_id") / 100, 6).alias("uq"))
-    return scores.where("uq > 0.05")
+@query("SELECT o_orderkey AS index FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) BETWEEN 101 AND 1100")
+def row_range(spark, d):
+    """The reference's own feature: rows 100 up to 1100 by place."""
+    return tables.in_range(in_spark(spark, d, "orders").select(F.col("o_orderkey").alias("index")), 100, 1100)
 
 
-QUERIES = {"sampling_frequency": sampling_frequency}
-ORACLES = {"sampling_frequency": f"WITH samples AS ({views.SAMPLES}) SELECT note_id, disease, round(count(DISTINCT sample_id) / 100.0e0, 6) AS uq FROM samples GROUP BY ALL HAVING count(DISTINCT sample_id) > 5"}
+@query("SELECT index, coalesce(entities, []) AS entities FROM (SELECT doc_id AS index FROM documents) LEFT JOIN (SELECT doc_id AS index, ['q' || CAST(quality AS VARCHAR)] AS entities FROM labels) USING (index)")
+def note_entities(spark, d):
+    found = in_spark(spark, d, "labels").select(F.col("doc_id").alias("index"), F.array(F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("entities"))
+    return tables.with_entities(in_spark(spark, d, "documents").select(F.col("doc_id").alias("index")), found)
