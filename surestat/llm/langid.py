@@ -260,8 +260,8 @@ def predictor(shared, token: str) -> Labeller:
     return _ready[token]
 
 
-def predicted(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
-    """docs' columns, then lang_pred and score. The model is broadcast: FEATURES x languages numbers (at most 32 MB)."""
+def predicted(docs: DataFrame, model: Model, columns: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns, then the predicted language and its score under `names`. The model is broadcast: FEATURES x languages numbers (at most 32 MB)."""
     import uuid
 
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.moves))
@@ -274,12 +274,12 @@ def predicted(docs: DataFrame, model: Model, columns: list[str], text: str = "te
 
         def handle(b):
             got = labeller.predict([t or "" for t in b.column(at).to_pylist()])
-            return pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*columns, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*columns, *names])
 
         return handle
 
     kinds = dict(taken.dtypes)
-    return by_batch(taken, make, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string", "score double"]))
+    return by_batch(taken, make, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

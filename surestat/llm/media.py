@@ -86,6 +86,8 @@ def parse(html: str | None) -> list[dict]:
     """The ordered parts of one page."""
     reader = _Sequence()
     reader.feed(html or "")
+    if reader.rawdata.startswith("<"):
+        reader.rawdata = ""  # markup that doesn't end
     reader.close()
     reader.flush()
     return reader.parts

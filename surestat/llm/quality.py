@@ -186,4 +186,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
     """docs without those it rejects, row by row; texts are stored with their measures once and not shuffled by key."""
     rows = written(measured(docs, docs.columns, text), "measures")
-    return scored(rows, labels, key, host, path).where(F.col("quality") >= THRESHOLD).select(*docs.columns)
+    # own columns can't meet those of docs: the row travels as one struct
+    kept = rows.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("__id"), F.col(host).alias("__h"), F.col(path).alias("__p"), "__x")
+    return scored(kept, labels, "__id", "__h", "__p").where(F.col("quality") >= THRESHOLD).select("__row.*")
