@@ -18,9 +18,9 @@ LEAST_SHARE = 0.3
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts of no language; a missing lang becomes the predicted one."""
-    out = langid.predicted(docs, langid.train(docs), docs.columns)
-    kept = out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    out = langid.predicted(docs, langid.train(docs), docs.columns, names=("__predicted", "__share"))
+    kept = out.where((F.col("__predicted") != langid.UNDETERMINED) & (F.col("__share") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", "__predicted")).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
