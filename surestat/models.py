@@ -10,6 +10,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 FAMILIES = ("llama", "qwen", "mistral", "gemma")
 
@@ -133,7 +134,7 @@ def alternatives(rows: DataFrame, top_k: int = 5, max_tokens: int = 20, factory:
 
 def entailment(pairs: DataFrame, a: str = "a", b: str = "b", factory: Callable[[], Provider] = Stub) -> DataFrame:
     """Adds forward and backward probabilities; give it distinct pairs."""
-    schema = pairs.schema.add("forward", "double").add("backward", "double")
+    schema = StructType([*pairs.schema.fields, StructField("forward", DoubleType()), StructField("backward", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import numeric as N
 
@@ -77,4 +78,4 @@ def embedded(names: DataFrame, provider, name: str = "name") -> DataFrame:
                 part["vec"] = list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
                 yield part[[*columns, "vec"]]
 
-    return names.mapInPandas(run, names.schema.add("vec", "array<float>"))
+    return names.mapInPandas(run, StructType([*names.schema.fields, StructField("vec", ArrayType(FloatType()))]))
