@@ -61,12 +61,11 @@ def cluster_leader(spark, d):
 
 
 @query(
-    """SELECT DISTINCT a.index, a.n AS a, b.n AS b FROM (SELECT DISTINCT index, lower(trim(disease)) AS n FROM {samples} WHERE index < 20) a
-       JOIN (SELECT DISTINCT index, lower(trim(disease)) AS n FROM {samples} WHERE index < 20) b ON a.index = b.index AND a.n < b.n"""
+    """SELECT DISTINCT a.index, a.n AS a, b.n AS b FROM (SELECT DISTINCT index, lower(trim(disease)) AS n FROM {samples}) a
+       JOIN (SELECT DISTINCT index, lower(trim(disease)) AS n FROM {samples}) b ON a.index = b.index AND a.n < b.n"""
 )
 def entailment_pairs(spark, d):
-    """Judging every distinct pair of the notes of twenty suppliers once."""
-    return sampling.name_pairs(in_spark(spark, d, "samples").where("index < 20"))
+    return sampling.name_pairs(in_spark(spark, d, "samples"))
 
 
 # ---- token scores
@@ -147,9 +146,15 @@ def long_method_scores(spark, d):
     return rounded(_long(spark, d))
 
 
-@query("SELECT index, disease, round(uq_pure, 6) AS uq_pure FROM {scored} WHERE NOT is_expanded AND index <= 50")
+@query("SELECT index, disease, round(uq_pure, 6) AS uq_pure FROM {scored} WHERE NOT is_expanded")
 def ignore_expansion(spark, d):
-    return rounded(evaluate.upto_index(evaluate.without_expansion(in_spark(spark, d, "scored")), 50).select("index", "disease", "uq_pure"))
+    return rounded(evaluate.without_expansion(in_spark(spark, d, "scored")).select("index", "disease", "uq_pure"))
+
+
+@query("SELECT index, disease FROM {scored} WHERE index <= 50")
+def index_limit(spark, d):
+    """The index limit is the original's own option."""
+    return evaluate.upto_index(in_spark(spark, d, "scored"), 50).select("index", "disease")
 
 
 @query("SELECT index, method, item, round(gain, 6) AS gain, round(score, 6) AS score, predicted, in_reference FROM {universe}")
@@ -349,12 +354,6 @@ def rwr_fixed_k(spark, d):
     return rounded(graph.walk_in_memory(q, _even_starts(spark, d), STEPS, 0.2, None), 9)
 
 
-@query(ORACLES["rwr_fixed_k"])
-def rwr_by_joins(spark, d):
-    q = graph.transitions(graph.weighted_edges(_valid(spark, d)))
-    return rounded(graph.walk(q, _even_starts(spark, d), STEPS, 0.2), 9)
-
-
 _ANCHORS = """known AS (SELECT s.note, s.index, e.embedding FROM {starts} s JOIN {nodes} n USING (index) LEFT JOIN (SELECT 'P' || CAST(vec_id AS VARCHAR) AS id, embedding FROM {embeddings}) e USING (id)),
     parts AS (SELECT note, index, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM known WHERE embedding IS NOT NULL),
     centre AS (SELECT note, i, avg(CAST(x AS DOUBLE)) AS c FROM parts GROUP BY 1, 2),
@@ -371,22 +370,21 @@ def anchor_personalization(spark, d):
     return rounded(graph.anchors(in_spark(spark, d, "starts"), graph.nodes(edges), vectors, special))
 
 
-@query("SELECT a.index, round(CAST((SELECT count(*) FROM {degree} b WHERE b.degree < a.degree) AS DOUBLE) / (SELECT count(*) FROM {degree}), 6) AS share_below FROM {degree} a WHERE a.index >= 1000000")
+@query("SELECT index, disease, round((rank() OVER (PARTITION BY index ORDER BY uq_pure) - 1) / CAST(count(*) OVER (PARTITION BY index) AS DOUBLE), 6) AS share_below FROM {scored}")
 def percentile_rank(spark, d):
-    rows = graph.degrees(graph.weighted_edges(_valid(spark, d))).withColumn("note", F.lit(0))
-    return rounded(graph.share_below(rows, "note", "degree").where("index >= 1000000").select("index", "share_below"))
+    return rounded(graph.share_below(in_spark(spark, d, "scored"), "index", "uq_pure").select("index", "disease", "share_below"))
 
 
 # ---- linking and expansion
 
 _COSINES = """SELECT a.vec_id AS entity, b.vec_id AS index, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) /
     (sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim
-    FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.vec_id >= 20"""
+    FROM embeddings a CROSS JOIN embeddings b"""
 
 
 def _near(spark, d):
     rows = in_spark(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return linking.nearest(rows.where("vec_id < 20").withColumnRenamed("vec_id", "entity"), rows.where("vec_id >= 20").withColumnRenamed("vec_id", "index"))
+    return linking.nearest(rows.withColumnRenamed("vec_id", "entity"), rows.withColumnRenamed("vec_id", "index"))
 
 
 @query(f"SELECT entity, index, round(sim, 5) AS sim, CAST(row_number() OVER (PARTITION BY entity ORDER BY sim DESC, index) AS INT) AS rank FROM ({_COSINES}) QUALIFY rank <= 5")
