@@ -281,8 +281,11 @@ def fit(texts: list[str], seed: int = 0) -> Model:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    few = docs.select(F.col(text).alias("text"), F.xxhash64(key, text).alias("h")).where(F.col("text").rlike("[0-9@=]") & (F.octet_length("text") <= TRAIN_BYTES))
-    return fit([r["text"] for r in few.orderBy("h", "text").limit(TRAIN_DOCS).collect()])
+    """Only hashes are sorted for the draw; a repeated row is drawn once. Driver and tasks hold TRAIN_DOCS texts at most."""
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(key, text).alias("h")).where(F.col("text").rlike("[0-9@=]") & (F.octet_length("text") <= TRAIN_BYTES))
+    drawn = rows.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    sample = rows.where(F.col("h") <= drawn).groupBy("h").agg(F.min("text").alias("text")).collect() if drawn is not None else []
+    return fit([r["text"] for r in sorted(sample)])
 
 
 def find(text: str | None, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -144,8 +144,11 @@ def scored(rows: DataFrame, labels: DataFrame, key: str, host: str, path: str) -
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("__label")).withColumnRenamed("doc_id", "__key")
     slim = rows.select(F.col(key).alias("__key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "__x")
     slim = written(slim.join(known, "__key", "left"), "evidence")
-    sample = slim.where("__label IS NOT NULL AND __x[0] > 0").orderBy(F.xxhash64("__key"), "__key", "__x").limit(TRAIN_DOCS).select("__x", "__label").toPandas()
-    model = Classifier.fitted(np.array(sample["__x"].tolist()), (sample["__label"].to_numpy() >= 0.5).astype(float)) if len(sample) else None
+    # only hashes are sorted for the draw; a repeated row is drawn once
+    labelled = slim.where("__label IS NOT NULL AND __x[1] + __x[2] > 0").select("__x", "__label", F.xxhash64("__key", "__x").alias("h"))
+    drawn = labelled.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    sample = sorted(labelled.where(F.col("h") <= drawn).groupBy("h").agg(F.first("__x"), F.first("__label")).collect()) if drawn is not None else []
+    model = Classifier.fitted(np.array([r[1] for r in sample]), np.array([r[2] >= 0.5 for r in sample], float)) if sample else None
 
     def probability(x: Column) -> Column:
         if model is None:
