@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, table
+from .common import by_batch, only_memory, table
 
 #: Remembered words before the memory is emptied; some 250 bytes each.
 REMEMBERED = 500_000
@@ -191,6 +191,7 @@ _ready: dict[tuple, Encoder] = {}
 
 def encoder(path: str, displaced: np.ndarray, pattern: str) -> Encoder:
     """This process's encoder: workers live on from task to task, and so does what they remember."""
+    only_memory("bpe", _ready.clear)
     key = (path, pattern)
     if key not in _ready:
         _ready[key] = Encoder(read_ranks(path), displaced, pattern)

@@ -56,6 +56,18 @@ def release() -> None:
 atexit.register(release)
 
 
+_holder: tuple[str, Callable[[], None]] | None = None
+
+
+def only_memory(name: str, forget: Callable[[], None]) -> None:
+    """Called where an operator begins to remember things in a worker, which lives on from task to task: what another
+    operator has left there is forgotten, so a worker's memory holds one operator's at a time."""
+    global _holder
+    if _holder and _holder[0] != name:
+        _holder[1]()
+    _holder = (name, forget)
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list]], schema: str) -> DataFrame:
     """mapInArrow in slices of ROWS_AT_ONCE. make() runs once in each task and returns the function of a slice."""
 

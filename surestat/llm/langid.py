@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, table
+from .common import by_batch, only_memory, table
 
 FEATURES = 1 << 17
 TRAIN_DOCS, TRAIN_BYTES, MOST_LANGUAGES = 150, 20_000, 64
@@ -254,6 +254,7 @@ _ready: dict[str, Labeller] = {}
 
 def predictor(shared, token: str) -> Labeller:
     """This process's labeller of one model; an earlier model's goes."""
+    only_memory("langid", _ready.clear)
     if token not in _ready:
         _ready.clear()
         _ready[token] = Labeller(Model(*shared.value))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, table, written
+from .common import by_batch, only_memory, table, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; some 200 bytes each.
@@ -103,6 +103,7 @@ class WordIds(dict):
 
 
 def word_ids(path: str) -> WordIds:
+    only_memory("packing", _ready.clear)
     if path not in _ready:
         _ready[path] = WordIds(path)
     return _ready[path]
