@@ -7,8 +7,11 @@ below. Bands of the signature are keys of buckets. Equal sets are one class from
 full sets:
  1. every member of a bucket against the bucket's smallest and its largest document: two links a member, however large it is;
  2. verified links are grouped (union-find within each partition, then stars over all partitions);
- 3. members of one bucket that are still in different groups, all against all of the other groups. Pairs within a group can
-    add nothing to it. So no link between groups that banding proposes is lost, and no bucket is expanded into all its pairs.
+ 3. where a bucket still has members of different groups, those outside the group of a hub drawn for the bucket against that
+    hub, TURNS times; a document has as many different hubs as it has such buckets;
+ 4. members of one bucket that are still in different groups, all against all of the other groups, large buckets in blocks
+    that put out links only. Pairs within a group can add nothing to it. So no link between groups that banding proposes
+    is lost, and no bucket is expanded into all its pairs.
 
 32 bands of 5 ranks propose a pair of similarity 0.8 but for 3 in a million, and one of 0.9 but for one in 10^12.
 
@@ -22,17 +25,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, table, written
+from .common import by_batch, only_memory, table, written
 
 POSITIONS, BANDS = 160, 32
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 REMEMBERED = 500_000
+#: Rounds of one drawn hub a bucket before what is left is compared in full.
+TURNS = 2
+#: Buckets of so few members are compared pair by pair, others in blocks of about BLOCK members.
+FEW, BLOCK = 8, 256
 #: Elements whose permutations are held at once.
 ELEMENTS = 32_768
 
@@ -59,6 +67,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _begin() -> None:
+    only_memory("dedup", _hashes.clear)
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles. A-Z are lower-cased; words end at blanks and at 9 to 13."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -125,6 +137,8 @@ def signed(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") ->
     kind = dict(docs.select(F.col(key).alias("doc")).dtypes)["doc"]
 
     def make():
+        _begin()
+
         def handle(b):
             sets = [shingles(t, k) for t in b.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -144,6 +158,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     """(doc, elements): the sorted set as bytes."""
 
     def make():
+        _begin()
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc", "elements"])
 
     return by_batch(docs, make, "doc long, elements binary")
@@ -171,6 +186,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_batch(near, make, "a long, b long")
 
 
+def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the groups of one bucket's members (bucket, doc, c, members): every member outside the bucket's most
+    frequent group against all members of other groups.
+
+    Both sides are cut into blocks, so a task holds some hundred sets, and only one link of a member to each other group in a
+    block is put out; neither shuffled nor resulting rows grow with the square of a bucket."""
+    common = members.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+    sides = members.join(common, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = sides.where("c <> main").withColumn("qb", block).withColumn("tb", every)
+    asked = sides.withColumn("tb", block).withColumn("qb", every)
+    keys = ["bucket", "qb", "tb"]
+    # a block of targets that nothing asks isn't shipped
+    wanted = asking.select(*keys).distinct()
+    both = asking.select(*keys, "doc", "c", F.lit(True).alias("asks")).union(asked.join(wanted, keys, "left_semi").select(*keys, "doc", "c", F.lit(False)))
+
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        mine, theirs = rows[rows["asks"]], rows[~rows["asks"]]
+        if len(mine) and len(theirs):
+            held = [np.frombuffer(x, np.uint64) for x in theirs["elements"]]
+            size = np.array([len(x) for x in held])
+            owner = np.repeat(np.arange(len(held)), size)
+            flat = np.concatenate(held)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            docs, groups = theirs["doc"].to_numpy(), theirs["c"].to_numpy()
+            for doc, c, raw in zip(mine["doc"].tolist(), mine["c"].tolist(), mine["elements"], strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                begin, end = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = end - begin
+                at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(held))
+                near = np.flatnonzero((100 * shared >= percent * (len(x) + size - shared)) & (groups != c))
+                _, first = np.unique(groups[near], return_index=True)
+                found += [(min(doc, y), max(doc, y)) for y in docs[near[first]].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return both.join(sets, "doc").groupBy(keys).applyInPandas(links, "a long, b long").distinct()
+
+
 def _joined_here(edges: DataFrame) -> DataFrame:
     """Union-find over the links of each partition: every document that has one, with the smallest it is joined to there.
     It holds the documents of one partition's links."""
@@ -236,23 +293,42 @@ def components(docs: DataFrame, k: int = 5, percent: int = PERCENT, key: str = "
     sets = written(set_rows(docs.join(involved, "doc", "left_semi").dropDuplicates(), k), "sets")
 
     alike = F.expr(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    to_low = shared.select(F.col("low.doc").alias("a"), F.col("low.n").alias("an"), F.col("doc").alias("b"), F.col("n").alias("bn"))
-    to_high = shared.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.col("high.doc").alias("b"), F.col("high.n").alias("bn"))
-    tried = written(to_low.union(to_high).where(F.col("a") != F.col("b")).where(alike).select("a", "b").distinct(), "pairs")
-    links = written(verified(tried, sets, percent), "verified")
+
+    def pairs(rows: DataFrame, tried: DataFrame | None, label: str) -> DataFrame:
+        """rows (a, an, b, bn) as distinct pairs a < b of sizes that allow a link, without those tried before."""
+        rows = rows.where(F.col("a") != F.col("b")).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return written(rows.join(tried, ["a", "b"], "left_anti") if tried is not None else rows, label)
+
+    def ends_of(x: str, y: str) -> list[Column]:
+        return [F.col(f"{x}.doc").alias("a"), F.col(f"{x}.n").alias("an"), F.col(f"{y}.doc").alias("b"), F.col(f"{y}.n").alias("bn")]
+
+    shared = shared.select("bucket", F.struct("doc", "n").alias("own"), "low", "high")
+    tried = pairs(shared.select(*ends_of("low", "own")).union(shared.select(*ends_of("own", "high"))), None, "pairs")
+    links = verified(tried, sets, percent)
     found = written(grouped(links), "groups")
 
-    # members of a bucket that the first links left in different groups
-    placed = shared.select("bucket", "doc", "n").join(found, "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    split = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
-    open_ = written(placed.join(split, "bucket", "left_semi"), "open-buckets")
-    left, right = (open_.select("bucket", F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("c").alias(f"{x}c")) for x in "ab")
-    cross = left.join(right, "bucket").where("a < b AND ac <> bc").where(alike).select("a", "b").distinct()
-    rest = written(cross.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    if not rest.isEmpty():
-        more = written(verified(rest, sets, percent), "verified")
+    def joined(more: DataFrame) -> DataFrame:
+        return written(grouped(more.union(found.select(F.col("component").alias("a"), F.col("doc").alias("b")))), "groups")
+
+    for turn in range(TURNS + 1):
+        # members of a bucket that are still in different groups
+        placed = shared.select("bucket", "own.doc", "own.n").join(found, "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("c"))
+        hub = F.min_by(F.struct("doc", "n", "c"), F.xxhash64("doc", "bucket", F.lit(turn))).alias("hub")
+        split = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members"), hub).where("c0 < c1").select("bucket", "hub", "members")
+        open_ = written(placed.join(split, "bucket"), "open-buckets")
+        if turn < TURNS:
+            asked = open_.where("c <> hub.c").select("hub", F.struct("doc", "n").alias("own")).select(*ends_of("hub", "own"))
+        else:
+            few = open_.where(F.col("members") <= FEW)
+            left, right = (few.select("bucket", F.struct("doc", "n").alias(x), F.col("c").alias(f"{x}c")) for x in ("x", "y"))
+            asked = left.join(right, "bucket").where("x.doc < y.doc AND xc <> yc").where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").select(*ends_of("x", "y"))
+        asked = pairs(asked, tried, "more-pairs")
+        more = written(verified(asked, sets, percent), "verified")
+        if turn == TURNS:
+            more = more.union(written(compared_in_blocks(open_.where(F.col("members") > FEW), sets, percent), "verified"))
         if not more.isEmpty():
-            found = grouped(more.union(found.select(F.col("component").alias("a"), F.col("doc").alias("b"))))
+            found = joined(more)
+        tried = tried.union(asked)
 
     of_class = classes.select("digest", "doc").join(found, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     out = rows.drop("bands").join(of_class, "digest", "left")

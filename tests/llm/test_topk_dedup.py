@@ -120,3 +120,24 @@ def test_long_chains_are_one_group(spark):
     random.Random(7).shuffle(order)
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(299)] + [(1000, 1001)], "a long, b long").repartition(7)
     assert {(r.doc, r.component) for r in dedup.grouped(edges).collect()} == {(i, 0) for i in range(1, 300)} | {(1001, 1000)}
+
+
+def test_large_buckets_in_blocks_join_what_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 3)
+    pick = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in range(40):  # a chain of edits: far ends differ, neighbours are alike
+        base = list(base)
+        base[pick.randrange(60)] = f"x{n}"
+        rows.append((n, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = dedup.set_rows(docs.toDF("doc", "text"), 2)
+    members = docs.selectExpr("1L bucket", "doc_id doc", "doc_id c", "40L members")
+    got = {tuple(r) for r in dedup.compared_in_blocks(members, sets, 80).collect()}
+    w = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in rows}
+    want = {(i, j) for i in w for j in w if i < j and 100 * len(w[i] & w[j]) >= 80 * len(w[i] | w[j])}
+    assert got == want
+    monkeypatch.setattr(dedup, "FEW", 1)
+    found = dedup.components(docs, k=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 2)
