@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows handled at once inside an Arrow function; bounds a worker's memory.
 ROWS_AT_ONCE = 512
 
+#: Rows of a batch between the JVM and its workers.
+ARROW_ROWS = 1024
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -65,11 +71,20 @@ def only_memory(name: str, forget: Callable[[], None]) -> None:
     global _holder
     if _holder and _holder[0] != name:
         _holder[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
     _holder = (name, forget)
 
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list]], schema: str) -> DataFrame:
-    """mapInArrow in slices of ROWS_AT_ONCE. make() runs once in each task and returns the function of a slice."""
+    """mapInArrow in slices of ROWS_AT_ONCE. make() runs once in each task and returns the function of a slice.
+
+    Arrow's buffers lie outside the heap on both sides and grow with a batch's texts, so the session's batches are held to
+    ARROW_ROWS rows, unless it has set fewer."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = make()

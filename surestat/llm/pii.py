@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, table
+from .common import by_batch, only_memory, table
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LONGEST = 8
@@ -324,6 +324,8 @@ def found(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        only_memory("pii", dict)  # nothing of its own
+
         def handle(b):
             rows = [find(t, model) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == name for s in base) for base, _ in rows], pa.int64()) for name in KINDS[:4]]
@@ -340,6 +342,8 @@ def cleaned(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at, kinds = docs.columns.index(text), docs.dtypes
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        only_memory("pii", dict)  # nothing of its own
+
         def handle(b):
             texts = pa.array([redacted(t, find(t, model)[1]) for t in b.column(at).to_pylist()], b.column(at).type)
             return pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 :]], b.schema.names)

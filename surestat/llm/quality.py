@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, table, written
+from .common import by_batch, only_memory, table, written
 
 TRAIN_DOCS = 20_000
 SOFT, THRESHOLD, STRONGEST = 0.5, 0.5, 1e6
@@ -104,6 +104,7 @@ def measured(docs: DataFrame, columns: list[str], text: str = "text") -> DataFra
     kinds = dict(taken.dtypes)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        only_memory("quality", dict)  # nothing of its own
         kind = pa.list_(pa.float64())
         return lambda b: pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([measures(t) for t in b.column(len(columns)).to_pylist()], kind)], [*columns, "__x"])
 
