@@ -2,7 +2,8 @@
 
 A text is made canonical: lower case, copyright lines dropped, punctuation and white space to single blanks, equivalent
 spellings to one. The SHA-256 of the result is joined to the digests of known licences, so only entire texts match. What
-is looked up are the whole document and each of its lines, as notices commonly fill a line.
+is looked up are the whole document and each of its lines, as notices commonly fill a line. The known digests are those of KNOWN, one-line notices
+and short texts, and of license_digests_v1.csv, entire licence texts and headers of source files (made by license_table).
 
 Defined results: null, empty and punctuation-only texts match nothing and have a null digest; a text that equals several
 known entries reports the smallest name; repeated rows each give their own row; an empty table gives an empty result;
@@ -11,6 +12,9 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,9 @@ KNOWN = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: (license, digest) of entire licence texts and headers; a further version is a further file.
+DIGESTS = Path(__file__).with_name("license_digests_v1.csv")
+
 #: A known table of at most so many rows is broadcast (some 100 bytes a row); a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 _COPYRIGHT = r"^\W*(copyright|\(c\)|©)"
@@ -84,11 +91,18 @@ def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, digest) of the versioned table."""
+    with DIGESTS.open(newline="") as f:
+        return [(r["license"], r["digest"]) for r in csv.DictReader(f)]
+
+
 def known_licenses(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
-    """(license, digest), by the same canonical form."""
+    """(license, digest) of known's texts, by the same canonical form, and of the versioned table."""
     rows = [(name, text) for name, texts in known.items() for text in texts]
     texts = spark.createDataFrame(rows, "license string, text string")
-    return digested(texts).groupBy("digest").agg(F.min("license").alias("license"))
+    full = spark.createDataFrame(full_texts(), "license string, digest string")
+    return digested(texts).select("license", "digest").union(full).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def digested(texts: DataFrame) -> DataFrame:
@@ -123,7 +137,7 @@ def scan(docs: DataFrame, known: DataFrame, known_rows: int, key: str = "doc_id"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), known_licenses(spark), sum(map(len, KNOWN.values())))
+    return scan(table(spark, sf_dir, "documents"), known_licenses(spark), sum(map(len, KNOWN.values())) + len(full_texts()))
 
 
 def _sql_canonical(line: str) -> str:
