@@ -1,13 +1,16 @@
 """Operator 9, personal data by a semi-Markov conditional random field over whole spans.
 
 Four base kinds are found by exact rules and always stay. The model adds what the rules' shapes miss: its segments are runs of
-at most LONGEST neighbouring tokens that each hold a digit, '@' or '=', its features are of the whole span (shape, digits,
+at most LONGEST neighbouring tokens that each hold a digit, '@' or '=' or come right after a secret-like name, its features are of the whole span (shape, digits,
 check digit, octets, alphabet, the words before), and a dynamic programme over bounded segments chooses boundaries and kinds
-together; a token outside any segment is of kind `none`. Tokens without such a character can't be in a segment, so a text falls into
-short runs that are solved apart, which is exact. The added kind is `secret`; added spans never overlap base spans.
+together; a token outside any segment is of kind `none`. Other tokens can't be in a segment, so a text falls into
+short runs that are solved apart, which is exact. Segments of all kinds are added: `secret`, and those of the base kinds whose
+neighbours spoil the rules' greedy match (two card numbers side by side, a phone number before an address). Added spans never
+overlap base spans.
 
-Learning takes at most TRAIN_DOCS texts that hold such characters (smallest hash first, at most TRAIN_BYTES bytes each), with the
-base spans, assignments to secret-like names and public key formats as labels. Finding covers every whole text.
+Learning takes at most TRAIN_DOCS texts that hold such characters or names (smallest hash first, at most TRAIN_BYTES bytes each), with the
+base spans, assignments to secret-like names (a word without such characters only after ':' or '=') and public key formats as
+labels. Finding covers every whole text.
 
 Defined results: null and empty texts have no spans; equal spans of one kind are reported once; n_* count base spans; repeated rows each give their
 own row; an empty table gives an empty result; further columns are ignored.
@@ -37,6 +40,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # same matches; a run of
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET_NAMES = re.compile(r"(?i)(password|passwd|pwd|secret|token|api_?key|access_?key)")
+NAME_PARTS = ["passw", "pwd", "secret", "token", "key"]  # one is in every secret-like name
+ASSIGNED = re.compile(rf"{SECRET_NAMES.pattern}[\w-]{{0,20}}+[\"']?\s*[:=]+\s*$")
+AFTER_NAME = re.compile(rf"{SECRET_NAMES.pattern}[\w-]{{0,20}}+[\"']?(\s*[:=]+|\s+is\b)?\s+(?=\S)")
 SECRET_SHAPES = re.compile(r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abp]-[0-9A-Za-z-]{10,}")
 
 _DIGITS = re.compile("[0-9]")
@@ -114,7 +120,10 @@ class Run:
                     begin = tokens[i][0]
                 if begin < end:
                     named = bool(SECRET_NAMES.search(said) or SECRET_NAMES.search(text[tokens[i][0] : begin]))
-                    self.segments.append((i, j, begin, end, span_features(text[begin:end], j - i, named)))
+                    features = span_features(text[begin:end], j - i, named)
+                    if j - i == 1 and not _TRIGGER.search(text, *tokens[i]):
+                        features += ("word assigned" if ASSIGNED.search(said) else "word",)
+                    self.segments.append((i, j, begin, end, features))
 
 
 def span_features(span: str, tokens: int, named: bool) -> tuple[str, ...]:
@@ -138,12 +147,14 @@ def span_features(span: str, tokens: int, named: bool) -> tuple[str, ...]:
 
 
 def runs(text: str) -> list[Run]:
-    """Maximal runs of trigger tokens, in order."""
-    if not _TRIGGER.search(text):
+    """Maximal runs of trigger tokens, in order; the word right after a secret-like name is one too."""
+    low = text.lower()
+    after = {m.end() for m in AFTER_NAME.finditer(text)} if any(x in low for x in NAME_PARTS) else ()
+    if not after and not _TRIGGER.search(text):
         return []
     out, held, before, previous = [], [], "", ""
     for m in _TOKEN.finditer(text):
-        if _TRIGGER.search(m[0]):
+        if m.start() in after or _TRIGGER.search(m[0]):
             if not held:
                 before = previous
             held.append(m.span())
@@ -224,7 +235,7 @@ def gold(run: Run, text: str, spans: dict[tuple[int, int], str]) -> list[tuple[i
         if i < done:
             continue
         kind = spans.get((begin, end))
-        if kind is None and j - i == 1 and end - begin >= 8 and ("named" in features or SECRET_SHAPES.fullmatch(text, begin, end)):
+        if kind is None and j - i == 1 and end - begin >= 8 and ("named" in features and "word" not in features or SECRET_SHAPES.fullmatch(text, begin, end)):
             kind = "secret"
         if kind:
             out.append((x, KINDS.index(kind)))
@@ -282,7 +293,10 @@ def fit(texts: list[str], seed: int = 0) -> Model:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Only hashes are sorted for the draw; a repeated row is drawn once. Driver and tasks hold TRAIN_DOCS texts at most."""
-    rows = docs.select(F.col(text).alias("text"), F.xxhash64(key, text).alias("h")).where(F.col("text").rlike("[0-9@=]") & (F.octet_length("text") <= TRAIN_BYTES))
+    held = F.col("text").rlike("[0-9@=]")
+    for part in NAME_PARTS:
+        held |= F.lower("text").contains(part)
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(key, text).alias("h")).where(held & (F.octet_length("text") <= TRAIN_BYTES))
     drawn = rows.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
     sample = rows.where(F.col("h") <= drawn).groupBy("h").agg(F.min("text").alias("text")).collect() if drawn is not None else []
     return fit([r["text"] for r in sorted(sample)])
@@ -292,7 +306,7 @@ def find(text: str | None, model: Model) -> tuple[list[tuple[str, int, int]], li
     """Base spans, and all spans: those and the model's that overlap none of them; by kind, then start."""
     text = text or ""
     base = base_spans(text)
-    added = [s for run in runs(text) for s in model.best(run) if s[0] == "secret"]
+    added = [s for run in runs(text) for s in model.best(run)]
     if added and base:
         covered = sorted((b, e) for _, b, e in base)
         starts = np.array([b for b, _ in covered])
