@@ -38,11 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is read column by column."""
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder (by the session's codec, or the one that is named): cuts the lineage, survives lost executors, is read column by column."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

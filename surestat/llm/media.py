@@ -4,6 +4,7 @@ interleaved() parses HTML into an ordered array of structs: text pieces and medi
 reference with its caption. resolved() joins the references by digest to a store of media, one row per distinct digest,
 so a payload is stored once however many documents refer to it; positions and captions stay with their reference. A
 store's media are greyscale images (binary PGM, 8 bits a sample, 64 samples a row), which hold any bytes without loss.
+stored_media() writes them to a table in the shared folder, and their hashes and features come from that table's bytes.
 
 Defined results: null or empty HTML gives an empty sequence; an unclosed tag, comment or script ends with the text; a
 reference without a stored payload keeps its place with null media; equal payloads give one stored medium; null texts
@@ -134,40 +135,63 @@ def padded(text: str | None) -> tuple[int, bytes]:
 FACTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+NAMES = [x.split()[0] for x in FACTS.split(", ")]
+
+
 def _facts(n: int, media: bytes) -> tuple:
     back = read_back(media)
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)
 
 
 def media_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document as a page that refers to its payload by digest, with what the stored medium gives when read back:
-    (key, html, digest, facts of the medium). The payload itself never crosses a shuffle."""
+    """Each document as a page that refers to its payload by digest: (key, html, digest, n_bytes, packed). packed is the
+    medium's PGM bytes, deflated for the way to the store."""
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
 
     def make():
         def handle(b):
-            html, digest, facts = [], [], []
+            html, digest, sizes, packed = [], [], [], []
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n, payload = padded(text)
-                media = stored(payload)
                 # the unpadded length is in the key: texts that differ in trailing zero bytes share a payload
                 digest.append(f"sha256:{hashlib.sha256(payload).hexdigest()}:{n}")
                 html.append(f'<article><h1>{k}</h1><figure><img src="{digest[-1]}"><figcaption>payload of {k}</figcaption></figure></article>')
-                facts.append(_facts(n, media))
-            columns = list(zip(*facts, strict=True)) if facts else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(html, pa.string()), pa.array(digest, pa.string()), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], ["key", "html", "digest", *(x.split()[0] for x in FACTS.split(", "))])
+                sizes.append(n)
+                packed.append(zlib.compress(stored(payload), 3))
+            columns = [pa.array(html, pa.string()), pa.array(digest, pa.string()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays([b.column(0), *columns], ["key", "html", "digest", "n_bytes", "packed"])
 
         return handle
 
-    return by_batch(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, html string, digest string, {FACTS}").withColumnRenamed("key", key)
+    schema = f"key {kind}, html string, digest string, n_bytes long, packed binary"
+    return by_batch(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), make, schema).withColumnRenamed("key", key)
+
+
+def stored_media(pages: DataFrame) -> DataFrame:
+    """(digest, n_bytes, media): the table of media in the shared folder, one row for each digest; media are whole PGM files.
+    Equal digests have equal bytes, so which copy stays doesn't matter. Partial aggregation leaves a task one row a digest
+    before the shuffle, however many copies it has."""
+    once = pages.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("packed").alias("packed"))
+
+    def make():
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.decompress(x) for x in b.column(2).to_pylist()], pa.binary())], ["digest", "n_bytes", "media"])
+
+    return written(by_batch(once, make, "digest string, n_bytes long, media binary"), "media-store", compression="zstd")
 
 
 def media_store(pages: DataFrame) -> DataFrame:
-    """One row for each digest; equal digests have equal facts, so which copy stays doesn't matter. Partial aggregation
-    leaves a task one row a digest before the shuffle, however many copies it has."""
-    names = [x.split()[0] for x in FACTS.split(", ")]
-    return pages.groupBy("digest").agg(*(F.first(x).alias(x) for x in names))
+    """One row for each digest, with what its medium gives when the stored bytes are read back."""
+
+    def make():
+        def handle(b):
+            facts = [_facts(n, media) for n, media in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            columns = list(zip(*facts, strict=True)) if facts else [[]] * len(NAMES)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], ["digest", *NAMES])
+
+        return handle
+
+    return by_batch(stored_media(pages), make, f"digest string, {FACTS}")
 
 
 def resolved(sequences: DataFrame, store: DataFrame, key: str = "page_id") -> DataFrame:
@@ -179,7 +203,7 @@ def resolved(sequences: DataFrame, store: DataFrame, key: str = "page_id") -> Da
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages with their media's facts are written once: both the sequences and the store read them, in columns."""
-    pages = written(media_pages(table(spark, sf_dir, "documents")), "media-pages")
+    """The media are written once for each digest; pages are made again for their sequences rather than stored."""
+    pages = media_pages(table(spark, sf_dir, "documents"))
     found = resolved(interleaved(pages, "doc_id"), media_store(pages), "doc_id")
-    return found.where("kind = 'media'").select("doc_id", *(x.split()[0] for x in FACTS.split(", ")), "pos", "caption")
+    return found.where("kind = 'media'").select("doc_id", *NAMES, "pos", "caption")
