@@ -16,6 +16,5 @@ QUERIES = {
 }
 ORACLES = {
     "op5_threshold_topk": topk.ORACLE,
-    "op9_personal_data": pii.query,
     "op10_license_scan": licenses.oracle(),
 }
