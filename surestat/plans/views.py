@@ -46,7 +46,7 @@ VIEWS = {
                'parent-child', -b.p_partkey
         FROM {part} b JOIN {part} a ON a.p_partkey = CAST(floor(b.p_partkey / 10.0e0) AS BIGINT) WHERE b.p_partkey > 0""",
     "starts": """
-        SELECT DISTINCT l_suppkey AS note, l_partkey AS index FROM {lineitem} WHERE l_discount > 0.095e0 AND l_tax > 0.075e0""",
+        SELECT DISTINCT l_suppkey AS note, l_partkey AS index FROM {lineitem}""",
     "valid": """
         SELECT * FROM {kg} WHERE x_index IS NOT NULL AND y_index IS NOT NULL AND lower(display_relation) IN
                ('phenotype present', 'indication', 'off-label use', 'parent-child', 'associated with', 'side effect', 'target', 'enzyme', 'transporter', 'carrier')""",
