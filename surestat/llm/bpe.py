@@ -2,7 +2,7 @@
 
 Tier one: a minimal perfect hash over the vocabulary resolves a pre-token that is itself a token. Tier two: for a miss, a
 heap of adjacent pairs over a linked list of the bytes merges the pair of least rank, leftmost first, until none is left.
-What either tier found is remembered, within a bound, as natural text repeats its words.
+What either tier found is remembered, within a bound in bytes, as natural text repeats its words.
 
 The whole text is encoded. Cutting at single blanks is exact for the pattern unless white space meets white space; such a
 text is matched as a whole. Defined results: null and empty texts give no ids; surrogates can't occur in UTF-8 columns; an
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, only_memory, table
 
-#: Remembered words before the memory is emptied; some 250 bytes each.
-REMEMBERED = 500_000
+#: Bytes that each of an encoder's three memories may hold before it is emptied, and the longest entry that is remembered.
+REMEMBERED, LONGEST = 100_000_000, 2_000
 # The characters with Unicode's White_Space property, which the tokenizer's engine takes for \s.
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -91,10 +91,10 @@ _FORTH, _BACK = list(range(1, 65)), list(range(-1, 64))
 
 
 class Encoder:
-    """Words to ids. remembers at most `bound` words."""
+    """Words to ids. Each of three memories holds at most `bound` bytes."""
 
     def __init__(self, tokens: list[bytes], displaced: np.ndarray, pattern: str, bound: int = REMEMBERED) -> None:
-        self.tokens, self.hash, self.bound = tokens, PerfectHash(len(tokens), displaced), bound
+        self.tokens, self.hash = tokens, PerfectHash(len(tokens), displaced)
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.placed: list[int] = [0] * len(tokens)
         for i, t in enumerate(tokens):
@@ -103,7 +103,7 @@ class Encoder:
         self.split = regex.compile(white).findall
         self.white = regex.compile(f"[{WHITE}]").match
         self.decimal = [str(i) for i in range(len(tokens))]
-        self.first, self.later, self.single = _Memo(self.lone), _Memo(self.after_blank), _Memo(self.pre_token)
+        self.first, self.later, self.single = _Memo(self.lone, bound), _Memo(self.after_blank, bound), _Memo(self.pre_token, bound)
 
     def pre_token(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
@@ -162,9 +162,6 @@ class Encoder:
         return tuple(chain.from_iterable(map(self.single.__getitem__, self.split(f" {piece}"))))
 
     def encode(self, text: str) -> list[int]:
-        for memo in (self.first, self.later, self.single):
-            if len(memo) > self.bound:
-                memo.clear()
         if text and "  " not in text and text[0] != " " and text[-1] != " ":
             pieces = text.split(" ")
             head = self.first[pieces[0]]
@@ -178,11 +175,21 @@ class Encoder:
 
 
 class _Memo(dict):
-    def __init__(self, make) -> None:
-        self.make = make
+    """Remembers make(key). An entry costs its characters and ids and some 200 bytes of objects; one of over LONGEST bytes is
+    made anew each time."""
+
+    def __init__(self, make, bound: int) -> None:
+        self.make, self.bound, self.held = make, bound, 0
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        cost = 200 + 4 * len(key) + 8 * len(value or ())
+        if cost <= LONGEST:
+            if self.held + cost > self.bound:
+                self.clear()
+                self.held = 0
+            self.held += cost
+            self[key] = value
         return value
 
 

@@ -27,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session, whose tasks all run on
+    this machine, gets a temporary one; a cluster has to name a folder that its executors share."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get() if made.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="surestat-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -5,9 +5,10 @@ lexicon entry, all hashed into one table of weights; transitions between the lan
 learned too. Forward-backward gives each word its marginals, so code-switched text is labelled word by word; a text's language is the
 one with the greatest mean over its words, which is the score.
 
-Learning takes at most TRAIN_DOCS documents of each language, those of smallest hash among texts of at most TRAIN_BYTES
-bytes; it is the documented bound, and the model (FEATURES x languages) doesn't grow with the corpus. Prediction covers
-every word of every text. Chains are cut into chunks whose transfer matrices are multiplied in step, which is exact.
+Learning takes every language that a labelled document has, TRAIN_DOCS documents of each at most, fewer if that makes more than TRAIN_TOTAL,
+those of smallest hash; of a longer text a window of TRAIN_CHARS characters, whose place a hash draws. This is the documented bound. The
+model has at most FEATURES rows, fewer beyond WEIGHTS numbers, so it doesn't grow with the corpus. Prediction covers every
+word of every text. Chains are cut into chunks whose transfer matrices are multiplied in step, which is exact.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is everything if nothing can be learned; ties go
 to the language first in order; rows with a null doc_id are not held out, take no part in learning and are
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from .common import by_batch, only_memory, table
 
 FEATURES = 1 << 17
-TRAIN_DOCS, TRAIN_BYTES, MOST_LANGUAGES = 150, 20_000, 64
+WEIGHTS, LEAST_FEATURES = 1 << 23, 1 << 12
+TRAIN_DOCS, TRAIN_TOTAL, LEAST_DOCS, TRAIN_CHARS = 150, 9_600, 8, 20_000
 EPOCHS, PARTS, RATE, DECAY = 4, 5, 0.5, 1e-4
-#: Words whose emissions a worker remembers, of at most LONG characters.
-REMEMBERED, LONG = 400_000, 64
+#: Bytes of words and emissions that a worker remembers from batch to batch.
+REMEMBERED = 100_000_000
 CHUNK = 128
 UNDETERMINED = "und"
 _U = np.uint64
@@ -66,7 +68,12 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     if not words:
         return np.zeros((0, weights.shape[1]), np.float32)
     flat, start = word_features(words)
-    return np.add.reduceat(weights[flat], start, axis=0)
+    return np.add.reduceat(weights[folded(flat, len(weights))], start, axis=0)
+
+
+def folded(flat: np.ndarray, n: int) -> np.ndarray:
+    """Features of a table of n rows, a power of two up to FEATURES."""
+    return flat >> (FEATURES // n).bit_length() - 1
 
 
 def letters(piece: str) -> str:
@@ -135,18 +142,22 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     """Adaptive-gradient ascent on the likelihood of every word's label, its text's language."""
     languages = sorted(set(labels))
     k = len(languages)
-    weights, moves = np.zeros((FEATURES, k), np.float32), np.zeros((k, k))
+    features = FEATURES
+    while features * k > WEIGHTS and features > LEAST_FEATURES:
+        features //= 2
+    weights, moves = np.zeros((features, k), np.float32), np.zeros((k, k))
     docs = [([w for p in t.split() if (w := letters(p))], languages.index(y)) for t, y in zip(texts, labels, strict=True)]
     docs = [d for d in docs if d[0]]
     if k < 2 or not docs:
         return Model(languages, weights, moves)
-    order, seen, seen_moves = np.random.default_rng(seed), np.full((FEATURES, k), 1e-3, np.float32), np.full((k, k), 1e-3)
+    order, seen, seen_moves = np.random.default_rng(seed), np.full((features, k), 1e-3, np.float32), np.full((k, k), 1e-3)
     for _ in range(EPOCHS):
         for part in np.array_split(order.permutation(len(docs)), min(PARTS, len(docs))):
             chosen = [docs[i] for i in part]
             words = [w for d, _ in chosen for w in d]
             types, index = np.unique(np.array(words), return_inverse=True)
             flat, start = word_features(types.tolist())
+            flat = folded(flat, features)
             first = np.zeros(len(words), bool)
             first[np.cumsum([0, *(len(d) for d, _ in chosen)])[:-1]] = True
             gold = np.repeat([y for _, y in chosen], [len(d) for d, _ in chosen])
@@ -156,7 +167,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model:
             n = len(words)
             by_type = np.stack([np.bincount(index, wrong[:, y], len(types)) for y in range(k)], 1)
             spread = np.repeat(by_type, np.diff([*start, len(flat)]), axis=0)
-            up = np.stack([np.bincount(flat, spread[:, y], FEATURES) for y in range(k)], 1).astype(np.float32) / np.float32(n) - DECAY / n * weights
+            up = np.stack([np.bincount(flat, spread[:, y], features) for y in range(k)], 1).astype(np.float32) / np.float32(n) - DECAY / n * weights
             seen += up * up
             weights += RATE * up / np.sqrt(seen)
             stay = ~first
@@ -176,7 +187,7 @@ class Labeller:
         self.forget()
 
     def forget(self) -> None:
-        self.at = {}
+        self.at, self.held = {}, 0
         self.table = np.zeros((1024, len(self.model.languages)), np.float32)  # row 0: no letter
         self.used = 1
 
@@ -193,11 +204,12 @@ class Labeller:
         for i, at in zip(some, range(self.used, self.used + len(some)), strict=True):
             self.at[new[i]] = at
         self.used += len(some)
+        self.held += sum(150 + 2 * len(p) for p in new) + 4 * len(some) * self.table.shape[1]
 
     def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
         """The pieces of each text, their emission rows, whether each has a letter, and the marginals."""
         cut = [t.split() for t in texts]
-        if len(self.at) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
         self.learn(set().union(*cut))
         rows = np.fromiter((self.at[p] for pieces in cut for p in pieces), np.int64)
@@ -237,15 +249,17 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", most: int = TRAIN_DOCS) -> Model:
-    """Fits on documents that aren't held out. Each language's share is cut to `most` before the shuffle (a window limit),
-    and at most MOST_LANGUAGES languages, those first in order, are learned."""
+    """Fits on documents that aren't held out. Each language's share is cut to its number before the shuffle (a window limit)."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
-    rows = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("key")) & (F.octet_length("text") <= TRAIN_BYTES) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("key")) & F.col("text").rlike(r"\p{L}"))
+    k = rows.select("label").distinct().count()
+    each = max(LEAST_DOCS, min(most, TRAIN_TOTAL // max(k, 1)))
     order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
-    few = rows.select("label", "key", F.row_number().over(order).alias("n")).where(F.col("n") <= most)
-    names = [r["label"] for r in few.select("label").distinct().orderBy("label").limit(MOST_LANGUAGES).collect()]
-    few = few.where(F.col("label").isin(names)).select("label", "key").distinct()
-    sample = rows.join(F.broadcast(few), ["label", "key"]).groupBy("label", "key").agg(F.min("text").alias("text")).orderBy("label", "key").collect()
+    few = rows.select("label", "key", F.row_number().over(order).alias("n")).where(F.col("n") <= each)
+    few = few.select("label", "key").distinct()  # languages x each rows
+    beyond = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
+    window = F.substring("text", (F.pmod(F.xxhash64("key"), beyond + 1) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    sample = rows.join(F.broadcast(few), ["label", "key"]).select("label", "key", window.alias("text")).groupBy("label", "key").agg(F.min("text").alias("text")).orderBy("label", "key").collect()
     return fit([r["text"] for r in sample], [r["label"] for r in sample])
 
 

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import by_batch, only_memory, table, written
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; some 200 bytes each.
-REMEMBERED = 700_000
+#: Bytes of words and ids that a worker remembers from batch to batch.
+REMEMBERED = 140_000_000
 #: Groups in which the ranks of one length are counted.
 RANK_GROUPS = 64
 
@@ -52,6 +52,7 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        self.held = 0  # bytes
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
@@ -92,10 +93,12 @@ class WordIds(dict):
         self.encode_together(list(plain))
         for w, stem, mark in made:
             self[w] = self[stem] + self[mark] if mark else self[stem]
+        self.held += sum(150 + 2 * len(w) + len(self[w]) for w in new)
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.clear()
+            self.held = 0
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*cut))
         for words in cut:
