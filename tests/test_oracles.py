@@ -1,5 +1,8 @@
 """Every query with SQL against DuckDB on the same small tables."""
 
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -53,3 +56,16 @@ def test_entry_points(spark):
     assert set(plans.QUERIES) <= set(found) and set(__spark_entry__.oracle_sql()) <= set(found)
     if Path(DATA).is_dir():
         assert __spark_entry__.entry(spark).columns == ["index", "disease", "uq"]
+
+
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_points_without_the_training_data_operators(tmp_path, with_pipeline):
+    """A copy of the repository without those folders, in a process of its own."""
+    here = Path(__spark_entry__.__file__).parent
+    shutil.copytree(here / "surestat", tmp_path / "surestat", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "surestat/llm").mkdir()  # what a deletion of files alone leaves
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    if with_pipeline and (here / "corpus_pipeline.py").exists():
+        shutil.copy(here / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and len(q) > 40"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
