@@ -3,8 +3,10 @@
 A document's own evidence is a logistic regression on a dozen measures of its whole text, fitted to labelled documents. A site has
 two levels, host and path. Every document adds its label, or with weight SOFT its own probability, to the sums of its path and
 host (grouped aggregation with partial sums, so a host with a third of all rows is no burden). Paths shrink toward their host
-and hosts toward the whole by Beta priors whose strength is found by moments, so sparse sites lean on the prior. The
-result combines the path's posterior, without the document's own share, and the document's likelihood ratio.
+and hosts toward the whole by Beta priors whose strength is found by moments, so sparse sites lean on the prior. Keys are
+dealt into FOLDS folds, and sums are kept by fold: the posteriors that a document meets are those of the other folds, so neither its
+own label or probability nor that of a repeated row counts for it. The result combines the path's posterior and the
+document's likelihood ratio.
 
 Fitting takes at most TRAIN_DOCS labelled documents, those of smallest hash; sums cover every document.
 
@@ -22,13 +24,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, only_memory, table, written
 
 TRAIN_DOCS = 20_000
 SOFT, THRESHOLD, STRONGEST = 0.5, 0.5, 1e6
+FOLDS = 32
 MEASURES = ["words", "distinct", "most", "again", "lines", "marks", "symbols", "upper", "digits", "length", "spread", "other"]
 
 _CLASS = np.zeros(256, np.uint8)  # 1 blank, 2 lower, 3 upper, 4 digit, 5 mark, 6 symbol, 7 beyond ASCII
@@ -124,17 +127,22 @@ def strength(n_sites: float, n: float, mean: float, between: float) -> float:
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """evidence (host, path, w, e) to (host, path, n, s, host_mean, path_prior): sums of the path, the host's shrunken mean, and
-    the strength with which the path is drawn to it. Two rows of totals go to the driver."""
-    paths = written(evidence.groupBy("host", "path").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("e")).alias("s")), "paths")
+    """evidence (host, path, fold, w, e) to (host, path, fold, n, s, host_mean, path_prior): sums of the path and the host's shrunken mean,
+    both without the fold's own share, and the strength with which the path is drawn to it. A site has at most FOLDS rows;
+    two rows of totals go to the driver."""
+    folds = written(evidence.groupBy("host", "path", "fold").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("e")).alias("s")), "paths")
+    paths = folds.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     total = hosts.agg(F.count("*").alias("sites"), F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("q")).first()
     n, mean = total["n"] or 0.0, (total["s"] or 0.0) / total["n"] if total["n"] else 0.5
     pull = strength(total["sites"], n, mean, (total["q"] or 0.0) / n - mean * mean if n else 0.0)
-    hosts = hosts.select("host", ((F.col("hs") + pull * mean) / (F.col("hn") + pull)).alias("host_mean"))
-    joined = paths.join(hosts, "host")
-    off = joined.agg(F.count("*").alias("sites"), F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("host_mean")) ** 2).alias("v")).first()
-    return joined.withColumn("path_prior", F.lit(strength(off["sites"], n, mean, (off["v"] or 0.0) / n if n else 0.0)))
+    shrunk = (F.col("hs") + pull * mean) / (F.col("hn") + pull)
+    off = paths.join(hosts.select("host", shrunk.alias("host_mean")), "host").agg(F.count("*").alias("sites"), F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("host_mean")) ** 2).alias("v")).first()
+    others = lambda c, *site: F.greatest(F.sum(c).over(Window.partitionBy(*site)) - F.col(c), F.lit(0.0)).alias(c)
+    by_host = folds.groupBy("host", "fold").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")).select("host", "fold", others("hn", "host"), others("hs", "host"))
+    by_path = folds.select("host", "path", "fold", others("n", "host", "path"), others("s", "host", "path"))
+    out = by_path.join(by_host.select("host", "fold", shrunk.alias("host_mean")), ["host", "fold"])
+    return out.withColumn("path_prior", F.lit(strength(off["sites"], n, mean, (off["v"] or 0.0) / n if n else 0.0)))
 
 
 def scored(rows: DataFrame, labels: DataFrame, key: str, host: str, path: str) -> DataFrame:
@@ -164,19 +172,17 @@ def scored(rows: DataFrame, labels: DataFrame, key: str, host: str, path: str) -
     rate = model.rate if model else 0.5
     worded = F.col("__x")[1] + F.col("__x")[2] > 0
     weight = F.when(F.col("__label").isNotNull(), 1.0).otherwise(SOFT)
-    evidence = slim.where(worded).select("host", "path", weight.alias("w"), F.coalesce("__label", probability(F.col("__x"))).alias("e"))
-    sites = site_posteriors(evidence).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("n").alias("__n"), F.col("s").alias("__s"), F.col("host_mean").alias("__mean"), F.col("path_prior").alias("__pull"))
+    fold = lambda k: F.pmod(F.xxhash64(k), F.lit(FOLDS)).cast("int")
+    evidence = slim.where(worded).select("host", "path", fold("__key").alias("fold"), weight.alias("w"), F.coalesce("__label", probability(F.col("__x"))).alias("e"))
+    sites = site_posteriors(evidence).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("fold").alias("__fold"), F.col("n").alias("__n"), F.col("s").alias("__s"), F.col("host_mean").alias("__mean"), F.col("path_prior").alias("__pull"))
 
     out = rows.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("__path", F.coalesce(F.col(path).cast("string"), F.lit("")))
-    out = out.join(sites, ["__host", "__path"], "left").withColumn("p_document", probability(F.col("__x")))
-    # without the document itself: a label isn't attached here, so its soft share is what is taken out
-    own = F.lit(SOFT)
+    out = out.withColumn("__fold", fold(key)).join(sites, ["__host", "__path", "__fold"], "left").withColumn("p_document", probability(F.col("__x")))
     mean, pull = F.coalesce("__mean", F.lit(rate)), F.coalesce("__pull", F.lit(STRONGEST))
-    n, s = F.greatest(F.coalesce("__n", F.lit(0.0)) - own, F.lit(0.0)), F.greatest(F.coalesce("__s", F.lit(0.0)) - own * F.col("p_document"), F.lit(0.0))
-    posterior = (s + pull * mean) / (n + pull)
+    posterior = (F.coalesce("__s", F.lit(0.0)) + pull * mean) / (F.coalesce("__n", F.lit(0.0)) + pull)
     out = out.withColumn("host_posterior", mean).withColumn("path_posterior", F.least(posterior, F.lit(1.0)))
     value = 1 / (1 + F.exp(-(logit(F.col("p_document")) - logit(F.lit(rate)) + logit(F.col("path_posterior")))))
-    return out.withColumn("quality", F.when(worded, value).otherwise(0.0)).drop("__host", "__path", "__n", "__s", "__mean", "__pull")
+    return out.withColumn("quality", F.when(worded, value).otherwise(0.0)).drop("__host", "__path", "__fold", "__n", "__s", "__mean", "__pull")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

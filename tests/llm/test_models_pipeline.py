@@ -172,15 +172,51 @@ def test_quality_of_labelled_and_unseen_documents(spark, docs):
     assert len(kept & set(range(400))) >= 396 and len(kept - set(range(400))) <= 2
 
 
+def posteriors_by_hand(rows):
+    """(host, path, fold) -> (n, s, host_mean, path_prior), from lists."""
+    n, mean = sum(r[3] for r in rows), sum(r[3] * r[4] for r in rows) / sum(r[3] for r in rows)
+    part = lambda keep: (sum(r[3] for r in rows if keep(r)), sum(r[3] * r[4] for r in rows if keep(r)))
+    hosts, paths = {r[0] for r in rows}, {r[:2] for r in rows}
+    of_host = {h: part(lambda r, h=h: r[0] == h) for h in hosts}
+    pull = quality.strength(len(hosts), n, mean, sum(s * s / w for w, s in of_host.values()) / n - mean**2)
+    drawn = lambda w, s: (s + pull * mean) / (w + pull)
+    spread = sum(w * (s / w - drawn(*of_host[h])) ** 2 for (h, p) in paths for w, s in [part(lambda r, h=h, p=p: r[:2] == (h, p))])
+    prior = quality.strength(len(paths), n, mean, spread / n)
+    return {(h, p, f): (*part(lambda r, h=h, p=p, f=f: r[:2] == (h, p) and r[2] != f), drawn(*part(lambda r, h=h, f=f: r[0] == h and r[2] != f)), prior) for h, p, f in {r[:3] for r in rows}}
+
+
 def test_site_posteriors_shrink_to_their_priors(spark):
-    rows = [("big", "a", 1.0, 1.0)] * 90 + [("big", "a", 1.0, 0.0)] * 10 + [("big", "rare", 1.0, 0.0)] + [("bad", "a", 1.0, 0.0)] * 80 + [("bad", "b", 1.0, 1.0)] * 20
-    sites = {(r.host, r.path): r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, w double, e double")).collect()}
-    assert sites["big", "a"].host_mean > sites["bad", "a"].host_mean
-    r = sites["big", "rare"]
-    assert 0 < (r.s + r.path_prior * r.host_mean) / (r.n + r.path_prior) < r.host_mean
+    rows = [("big", "a", i % 4, 1.0, 1.0) for i in range(90)] + [("big", "a", i % 4, 0.5, 0.2) for i in range(10)] + [("big", "rare", 1, 1.0, 0.0)]
+    rows += [("bad", "a", i % 4, 1.0, 0.0) for i in range(80)] + [("bad", "b", i % 3, 1.0, 1.0) for i in range(20)] + [("one", "p", 2, 1.0, 1.0)]
+    sites = {(r.host, r.path, r.fold): r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, fold int, w double, e double")).collect()}
+    want = posteriors_by_hand(rows)
+    assert sites.keys() == want.keys()
+    for k, r in sites.items():
+        assert np.allclose((r.n, r.s, r.host_mean, r.path_prior), want[k], atol=1e-9), k
+    assert sites["big", "a", 0].host_mean > sites["bad", "a", 0].host_mean
+    alone = sites["one", "p", 2]  # nothing of its own is left
+    assert alone.n == 0 and alone.s == 0 and np.isclose(alone.host_mean, sum(r[3] * r[4] for r in rows) / sum(r[3] for r in rows))
     assert quality.strength(2, 100, 0.5, 0.0) == quality.STRONGEST
 
 
+def test_a_document_s_own_label_doesn_t_count_for_it(spark):
+    """Sites really differ, so path priors are weak; documents alone in their path, of like texts and with random labels, score alike."""
+    pick = random.Random(11)
+    words = ["so", "it", "goes", "on", "and", "then", "some"]
+    text = lambda i: " ".join(pick.choices(words, k=30)) if i % 2 else " ".join(["BUY!!"] * 20)
+    pure = [(i, text(i), "host", f"p{i % 10}") for i in range(600)]
+    alone = [(1000 + i, "so it goes on and then some of it goes on", "host", f"alone {i}") for i in range(60)]
+    docs = spark.createDataFrame(pure + alone, "doc_id long, text string, source string, lang string")
+    labels = {i: i % 2 for i, *_ in pure} | {i: pick.randint(0, 1) for i, *_ in alone}
+    rows = quality.measured(docs, ["doc_id", "source", "lang"])
+    got = quality.scored(quality.written(rows, "m"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), "doc_id", "source", "lang")
+    by_label = {0: [], 1: []}
+    for r in got.where("doc_id >= 1000").collect():
+        by_label[labels[r.doc_id]].append(r.path_posterior)
+    assert min(map(len, by_label.values())) > 15
+    assert abs(np.mean(by_label[0]) - np.mean(by_label[1])) < 0.02 and np.std(by_label[0] + by_label[1]) < 0.02
+
+
 def test_quality_of_messy_rows(spark, messy, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 1), (8, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.accepted(messy, labels)
