@@ -1,19 +1,23 @@
 """Operator 5, exact top-k search by Fagin's threshold algorithm.
 
-Candidates are dealt into blocks of at most BLOCK rows or so, queries into blocks of QUERIES. In a candidate block each
-dimension has a list of the rows sorted by that component. A query walks all lists at once, from the top where its own
-component is positive and from the bottom where it is negative; rows met for the first time get their whole score; the walk
-stops as soon as the bound, the score of a row made of the lists' current entries, is below the k-th score so far. Ties
-with the k-th score go on, so that the smaller id wins. The blocks' k best are merged by query.
-
-Exact for any input: scores are integers, held in 64 bits. Defined results: vectors that are null or hold a null, NaN or
-infinite component or no component take no part; vectors of unlike length are not compared; fewer than k
-candidates give fewer rows; ties go to the smaller id; an empty table gives an empty result; further columns are ignored.
+Candidates are dealt into blocks of some BLOCK rows, queries into blocks of at most QUERIES. In a candidate block each
+dimension has a list of the rows sorted by that component. A query reads the lists from the top where its own
+component is positive and from the bottom where it is negative (sorted accesses), always going on in those whose next entry adds
+most: all entries that add more than a level are read, then the level falls. A row met for the first time gets its whole score
+(random access). The bound, the sum of what the lists' next entries add, is the most that a row not yet met can have; the walk stops as soon as it
+is below the k-th score so far, or when every row has been met. Ties with the k-th score go on, so that the smaller id
+wins. The blocks' k best are merged by query.
+
+Scores are exact integers: in float64 where no sum can pass 2^52, else in int64, and where one could pass 2^62 in Python's
+integers; a score beyond 64 bits becomes the nearest long before it is ranked, so such scores are ties. Defined results:
+vectors that are null or hold a null, NaN or infinite component or no component take no part; vectors of unlike length are
+not compared; rows that share an id are one query, whose list merges theirs, and not candidates of each other; fewer than
+k candidates give fewer rows; ties go to the smaller id; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,10 +27,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 K = 20
-BLOCK = 16_384
-QUERIES = 2_048
-#: Entries of each list that the first step reads; later steps double the depth.
-FIRST_DEPTH = 32
+BLOCK = 32_768
+QUERIES, LEAST_QUERIES = 8_192, 32
+#: The level falls to this share of the greatest next entry.
+FALL = 0.7
+_MOST = (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -41,65 +46,96 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return rows.select("id", F.size("e").alias("dims"), F.transform("e", lambda x: F.floor(x.cast("double") * F.lit(factor)).cast("long")).alias("v"))
 
 
-def threshold_search(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of one block for one query. lists[d] has the rows in rising order of component d; rows are
-    in rising order of id, so the smaller row number is the smaller id. Both rows and q are float64 if that is exact."""
-    n = len(ids)
-    dims = np.flatnonzero(q)  # a list with weight 0 adds nothing to a score
-    seen = np.zeros(n, bool)
-    own = np.searchsorted(ids, query_id)
-    while own < n and ids[own] == query_id:
-        seen[own] = True
-        own += 1
-    best_rows, best = np.empty(0, np.int64), np.empty(0, rows.dtype)
-    up = q[dims] > 0
-    depth = FIRST_DEPTH
-    while True:
-        depth = min(depth, n)
-        met = np.concatenate([lists[dims[up], n - depth :].ravel(), lists[dims[~up], :depth].ravel()]) if depth < n and len(dims) else np.arange(n)
-        new = np.zeros(n, bool)
-        new[met] = True
-        new &= ~seen
-        seen |= new
-        fresh = np.flatnonzero(new)
-        score = np.concatenate([best, rows[fresh] @ q])
-        at = np.concatenate([best_rows, fresh])
-        if len(at) > k:
-            # all above the k-th score, then of those equal to it the smallest ids
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            above, level = np.flatnonzero(score > kth), np.flatnonzero(score == kth)
-            level = level[np.argsort(at[level], kind="stable")][: k - len(above)]
-            take = np.concatenate([above, level])
-            score, at = score[take], at[take]
-        best, best_rows = score, at
-        if depth == n or not len(dims):
-            break
-        if len(best) == k:
-            last = np.concatenate([lists[dims[up], n - depth], lists[dims[~up], depth - 1]])
-            bound = rows[last, np.concatenate([dims[up], dims[~up]])] @ np.concatenate([q[dims[up]], q[dims[~up]]])
-            if bound < best.min():
+class Walk(NamedTuple):
+    best: list[tuple[int, int]]  # (score, id)
+    sorted_accesses: int
+    random_accesses: int
+    stopped: bool  # by the bound, with rows that were never met
+
+
+class Block:
+    """A candidate block: rows in rising order of id, and each dimension's list of row numbers in rising order of its component."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.ids, self.rows = ids, rows
+        self.lists = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(rows.T, self.lists, 1)
+
+    def threshold_search(self, query_id: int, q: np.ndarray, k: int) -> Walk:
+        """The k best of the block for one query."""
+        n = len(self.ids)
+        open_ = np.ones(n, bool)
+        open_[np.searchsorted(self.ids, query_id, "left") : np.searchsorted(self.ids, query_id, "right")] = False
+        dims = np.flatnonzero(q != 0)  # a list with weight 0 adds nothing to a score
+        weight = q[dims]
+        up = weight > 0
+        depth = np.zeros(len(dims), np.int64)  # entries read of each list
+        best_rows, best = np.empty(0, np.int64), np.empty(0, self.rows.dtype)
+        read = random = 0
+        unmet = int(open_.sum())
+        if not len(dims):  # all scores are 0
+            best_rows = np.flatnonzero(open_)[:k]
+            return Walk([(0, int(i)) for i in self.ids[best_rows]], 0, 0, unmet > k)
+        while unmet:
+            # no list has been read through, as it would have met every row
+            adds = self.values[dims, np.where(up, n - 1 - depth, depth)] * weight
+            if len(best) == k and adds.sum() < best.min():
                 break
-        depth = n if depth * len(dims) > 2 * n else depth * 2
-    order = np.lexsort((best_rows, -best))
-    return [(int(best[i]), int(ids[best_rows[i]])) for i in order]
-
-
-def _matrix(v: pd.Series) -> np.ndarray:
-    x = np.stack(v.to_numpy())
-    top = int(np.abs(x).max(initial=0))
-    return x.astype(np.float64) if top * top * max(1, x.shape[1]) < 1 << 52 else x.astype(np.int64)
-
-
-def block_search(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame, k: int = K) -> pd.DataFrame:
+            top = adds.max()
+            level = top * FALL if top > 1 else 0.0 if top > 0 else 2.0 * top - 1
+            slices = []
+            for i, (d, w) in enumerate(zip(dims.tolist(), weight.tolist(), strict=True)):
+                # entries x with w * x above the level
+                limit = level / w
+                upto = n - int(np.searchsorted(self.values[d], limit, "right")) if w > 0 else int(np.searchsorted(self.values[d], limit, "left"))
+                if upto > depth[i]:
+                    slices.append(self.lists[d, n - upto : n - depth[i]] if w > 0 else self.lists[d, depth[i] : upto])
+                    read += upto - int(depth[i])
+                    depth[i] = upto
+            if not slices:  # the level's rounding left out the greatest next entry
+                i = int(np.argmax(adds))
+                slices.append(self.lists[dims[i], [n - 1 - depth[i] if up[i] else depth[i]]])
+                read, depth[i] = read + 1, depth[i] + 1
+            new = np.zeros(n, bool)
+            new[np.concatenate(slices)] = True
+            fresh = np.flatnonzero(new & open_)
+            open_[fresh] = False
+            unmet -= len(fresh)
+            random += len(fresh)
+            score = np.concatenate([best, saturated(self.rows[fresh] @ q)])
+            at = np.concatenate([best_rows, fresh])
+            if len(at) > k:
+                # all above the k-th score, then of those equal to it the smallest ids
+                kth = np.partition(score, len(score) - k)[len(score) - k]
+                above, level_ = np.flatnonzero(score > kth), np.flatnonzero(score == kth)
+                level_ = level_[np.argsort(at[level_], kind="stable")][: k - len(above)]
+                take = np.concatenate([above, level_])
+                score, at = score[take], at[take]
+            best, best_rows = score, at
+        order = sorted(range(len(best)), key=lambda i: (-best[i], best_rows[i]))
+        return Walk([(int(best[i]), int(self.ids[best_rows[i]])) for i in order], read, random, unmet > 0)
+
+
+def saturated(scores: np.ndarray) -> np.ndarray:
+    return np.array([max(-_MOST - 1, min(_MOST, x)) for x in scores], object) if scores.dtype == object else scores
+
+
+def _matrices(*vectors: pd.Series) -> list[np.ndarray]:
+    """The vectors as matrices of a type in which no sum of products is inexact."""
+    whole = [np.stack(v.to_numpy()).astype(np.int64) for v in vectors]
+    top = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in whole]
+    most = top[0] * top[-1] * whole[0].shape[1]
+    return [x.astype(np.float64 if most < 1 << 52 else np.int64 if most < 1 << 62 else object) for x in whole]
+
+
+def block_search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int = K) -> pd.DataFrame:
     found: list[tuple[int, int, int]] = []
     if len(queries) and len(candidates):
         candidates = candidates.sort_values("id", kind="stable")
-        ids, rows, asked = candidates["id"].to_numpy(), _matrix(candidates["v"]), _matrix(queries["v"])
-        if rows.dtype != asked.dtype or rows.dtype == np.float64 and np.abs(rows).max() * np.abs(asked).max() * rows.shape[1] >= 1 << 52:
-            rows, asked = rows.astype(np.int64), asked.astype(np.int64)
-        lists = np.argsort(rows, axis=0, kind="stable").T.copy()
+        rows, asked = _matrices(candidates["v"], queries["v"])
+        block = Block(candidates["id"].to_numpy(), rows)
         for query_id, q in zip(queries["id"].tolist(), asked, strict=True):
-            found += [(query_id, vec_id, score) for score, vec_id in threshold_search(ids, rows, lists, query_id, q, k)]
+            found += [(query_id, vec_id, score) for score, vec_id in block.threshold_search(query_id, q, k).best]
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
@@ -107,16 +143,18 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = B
     """(query_id, rank, vec_id, score): the k candidates of greatest inner product for every query, its own id left out.
 
     Both inputs are quantised(). Each pair of blocks is one group of bounded size; a candidate is repeated once for each
-    query block. Vectors of unlike length are not compared."""
-    n_blocks = max(1, -(-candidates.count() // block))
-    q_blocks = max(1, -(-queries.count() // query_block))
+    query block. Where there are fewer pairs than the session has cores, query blocks are made smaller."""
+    n, asked = candidates.count(), queries.count()
+    n_blocks = max(1, -(-n // block))
+    spare = -(-queries.sparkSession.sparkContext.defaultParallelism // n_blocks)
+    q_blocks = max(1, -(-asked // query_block), min(spare, -(-asked // LEAST_QUERIES)))
     deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", deal(q_blocks)).withColumn("cb", spread(n_blocks))
     right = candidates.withColumn("cb", deal(n_blocks)).withColumn("qb", spread(q_blocks))
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return block_search(key, a, b, k)
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return block_search(a, b, k)
 
     keys = ["dims", "qb", "cb"]
     best = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(run, "query_id long, vec_id long, score long")

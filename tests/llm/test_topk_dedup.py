@@ -36,11 +36,53 @@ def test_vectors_that_take_no_part(spark):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(i, [float(2**40 + i), -float(2**41 - 3 * i)]) for i in range(0, 60, 5)]
-    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=1)
-    got = Counter(map(tuple, topk.search(q.where("id % 20 = 0"), q, k=3).collect()))
-    wrap = lambda s: (s + 2**63) % 2**64 - 2**63
-    assert got and all(abs(s) < 2**63 or wrap(s) for _, _, _, s in got)
+    """Sums of up to 2^52 in floats, up to 2^62 in 64 bits, and beyond; scores out of range are the nearest long, and ties."""
+    for top in (2**20, 2**28, 2**40):
+        rows = [(i, [float(top + i), -float(2 * top - 3 * i), 5.0]) for i in range(0, 60, 5)]
+        q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=1)
+        got = Counter(map(tuple, topk.search(q.where("id % 20 = 0"), q, k=3).collect()))
+        exact = {i: [int(x) for x in v] for i, v in rows}
+        want = []
+        for i in exact:
+            if i % 20 == 0:
+                best = sorted((-min(sum(a * b for a, b in zip(exact[i], v, strict=True)), 2**63 - 1), j) for j, v in exact.items() if j != i)[:3]
+                want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+        assert got == Counter(want)
+        assert (max(s for *_, s in got) == 2**63 - 1) == (top == 2**40)
+
+
+def brute_walk(ids, rows, query_id, q, k):
+    return [(-s, i) for s, i in sorted((-int(v @ q), int(i)) for i, v in zip(ids, rows, strict=True) if i != query_id)[:k]]
+
+
+def test_walks_stop_early_on_skewed_vectors():
+    """Few rows have a great component in the query's dimensions; others can't reach the k-th score, and aren't met."""
+    pick = np.random.default_rng(3)
+    n, dims, k = 4000, 16, 20
+    rows = np.floor(64 * pick.pareto(2.5, (n, dims)) * pick.choice([-1, 1], (n, dims)) / 8).astype(np.float64)
+    block = topk.Block(np.arange(n), rows)
+    stops, accesses = 0, []
+    for i in range(60):
+        q = np.where(np.arange(dims) % 5 == i % 5, rows[i], 0.0)
+        walk = block.threshold_search(i, q, k)
+        assert walk.best == brute_walk(np.arange(n), rows, i, q, k)
+        assert walk.random_accesses <= min(n - 1, walk.sorted_accesses) and walk.stopped == (walk.random_accesses < n - 1)
+        stops += walk.stopped
+        accesses.append(walk.random_accesses / n)
+    assert stops >= 55 and np.median(accesses) < 0.5
+
+
+def test_walks_over_ties_zeros_and_negative_scores():
+    pick = np.random.default_rng(4)
+    for n in (1, 2, 25, 300):
+        rows = pick.integers(-2, 3, (n, 5)).astype(np.float64)
+        rows[: n // 2] = rows[0]
+        block = topk.Block(np.arange(n) * 3, rows)
+        for q in (np.zeros(5), np.array([1.0, 0, 0, 0, 0]), -np.ones(5), rows[n // 2], np.array([-2.0, 1, 0, 0, 2])):
+            for k in (1, 3, 20):
+                assert block.threshold_search(0, q, k).best == brute_walk(np.arange(n) * 3, rows, 0, q, k)
+        worst = topk.Block(np.arange(n), -np.abs(rows) - 1)  # all scores are negative
+        assert worst.threshold_search(-1, np.ones(5), 4).best == brute_walk(np.arange(n), -np.abs(rows) - 1, -1, np.ones(5), 4)
 
 
 def brute_components(rows, k):
@@ -123,7 +165,7 @@ def test_long_chains_are_one_group(spark):
 
 
 def test_large_buckets_in_blocks_join_what_pairs_join(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "BLOCK", 3)
+    monkeypatch.setattr(dedup, "BLOCK_BYTES", 1_500)  # three sets or so
     pick = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -132,8 +174,8 @@ def test_large_buckets_in_blocks_join_what_pairs_join(spark, monkeypatch):
         base[pick.randrange(60)] = f"x{n}"
         rows.append((n, " ".join(base)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = dedup.set_rows(docs.toDF("doc", "text"), 2)
-    members = docs.selectExpr("1L bucket", "doc_id doc", "doc_id c", "40L members")
+    sets = dedup.set_rows(docs.toDF("node", "text"), 2)
+    members = docs.selectExpr("1L bucket", "doc_id node", "59L n", "59L o", "doc_id c")
     got = {tuple(r) for r in dedup.compared_in_blocks(members, sets, 80).collect()}
     w = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in rows}
     want = {(i, j) for i in w for j in w if i < j and 100 * len(w[i] & w[j]) >= 80 * len(w[i] | w[j])}
