@@ -46,10 +46,12 @@ def canonical(text: str) -> str:
     for line in text.lower().split("\n"):
         if re.match(r"\W*(copyright|\(c\)|©)", line):
             continue
-        spelt = f" {re.sub(r'[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', line).strip(' ')} "
+        words = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", line).strip(" ").split(" ")
+        spelt = f" {'  '.join(EQUIVALENT.get(w, w) for w in words)} "
         for a, b in EQUIVALENT.items():
-            spelt = spelt.replace(f" {a} ", f" {b} ")
-        out.append(spelt.strip(" "))
+            if " " in a:
+                spelt = spelt.replace(f" {a.replace(' ', '  ')} ", f" {b} ")
+        out.append(" ".join(spelt.split()))
     return " ".join(x for x in out if x)
 
 

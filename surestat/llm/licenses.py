@@ -1,8 +1,9 @@
 """Operator 10, licence scans by canonical digest lookup. DataFrame functions only.
 
 A text is made canonical: lower case, copyright lines dropped, punctuation and white space to single blanks, equivalent
-spellings to one. The SHA-256 of the result is joined to the digests of known licences, so only entire texts match. What
-is looked up are the whole document and each of its lines, as notices commonly fill a line. The known digests are those of KNOWN, one-line notices
+spellings to one, word by word, and of two words after that. The SHA-256 of the result is joined to the digests of known licences, so
+only entire texts match. What is looked up are the whole document, each of its lines, and each paragraph (what blank lines
+part) of several lines, as notices commonly fill a line or a paragraph, however it is wrapped. The known digests are those of KNOWN, one-line notices
 and short texts, and of license_digests_v1.csv, entire licence texts and headers of source files (made by license_table).
 
 Defined results: null, empty and punctuation-only texts match nothing and have a null digest; a text that equals several
@@ -26,7 +27,6 @@ EQUIVALENT = {
     "licences": "licenses",
     "licenced": "licensed",
     "sublicence": "sublicense",
-    "sub license": "sublicense",
     "acknowledgement": "acknowledgment",
     "analogue": "analog",
     "authorisation": "authorization",
@@ -34,9 +34,10 @@ EQUIVALENT = {
     "favour": "favor",
     "fulfil": "fulfill",
     "merchantibility": "merchantability",
-    "non commercial": "noncommercial",
     "organisation": "organization",
     "whilst": "while",
+    "sub license": "sublicense",
+    "non commercial": "noncommercial",
 }
 KNOWN = {
     "All-Rights-Reserved": ["All rights reserved."],
@@ -78,15 +79,21 @@ def canonical_lines(text: Column) -> Column:
 
     def one(line: Column) -> Column:
         words = F.trim(F.regexp_replace(line, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
-        spelt = F.concat(F.lit(" "), words, F.lit(" "))
+        # two blanks between words, so that neighbours don't share one
+        spelt = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
         for a, b in EQUIVALENT.items():
-            spelt = F.replace(spelt, F.lit(f" {a} "), F.lit(f" {b} "))
-        return F.trim(spelt)
+            spelt = F.replace(spelt, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b} "))
+        return F.trim(F.replace(spelt, F.lit("  "), F.lit(" ")))
 
     lines = F.filter(F.split(F.lower(text), r"\n"), lambda x: ~(x.contains("copyright") | x.contains("(c)") | x.contains("©")) | ~x.rlike(_COPYRIGHT))
     return F.filter(F.transform(lines, one), lambda x: x != "")
 
 
+def paragraphs(text: Column) -> Column:
+    """The canonical lines of each paragraph: of what blank lines part."""
+    return F.transform(F.split(text, r"\n[ \t\r]*\n"), canonical_lines)
+
+
 def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
@@ -112,13 +119,16 @@ def digested(texts: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame, known_rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text_digest, license, n_notices, notices): license of the entire text, or null; lines that are notices, counted, and their licences' names.
+    """(key, text_digest, license, n_notices, notices): license of the entire text, or null; lines and paragraphs of several lines that
+    are notices, counted, and their licences' names.
 
     Digests, not texts, are exploded; each document's rows stay in one task until partial aggregation has made them one."""
-    lines = canonical_lines(F.coalesce(F.col(text), F.lit("")))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), lines.alias("lines"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), paragraphs(F.coalesce(F.col(text), F.lit(""))).alias("parts"))
+    base = base.select("row", "key", F.flatten("parts").alias("lines"), F.filter("parts", lambda p: F.size(p) > 1).alias("parts"))
     whole = F.array_join("lines", " ")
-    units = base.select("row", "key", F.concat(F.array(F.when(whole != "", digest(whole))), F.transform("lines", digest)).alias("digests"))
+    blocks = F.transform("parts", lambda p: digest(F.array_join(p, " ")))
+    # a text of one paragraph is looked up as a whole and as that paragraph
+    units = base.select("row", "key", F.concat(F.array(F.when(whole != "", digest(whole))), F.transform("lines", digest), blocks).alias("digests"))
     units = units.select("row", "key", F.posexplode("digests").alias("unit", "digest"))
     side = F.broadcast(known) if known_rows <= BROADCAST_ROWS else known
     whole_one, notice = F.col("unit") == 0, F.col("unit") > 0
@@ -140,24 +150,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), known_licenses(spark), sum(map(len, KNOWN.values())) + len(full_texts()))
 
 
-def _sql_canonical(line: str) -> str:
-    spelt = f"' ' || trim(regexp_replace({line}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')) || ' '"
-    for a, b in EQUIVALENT.items():
-        spelt = f"replace({spelt}, ' {a} ', ' {b} ')"
-    return f"trim({spelt})"
-
-
 def oracle() -> str:
+    """The same rows by other means: words are looked up one by one in a map, two-word spellings replaced by a pattern."""
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in KNOWN.items() for text in texts)
-    keeps = "NOT regexp_matches(x, '^[^0-9A-Za-z_]*(copyright|\\(c\\)|©)')"
-    lines = f"list_filter(list_transform(list_filter(string_split(lower(coalesce(text, '')), chr(10)), lambda x: {keeps}), lambda x: {_sql_canonical('x')}), lambda x: x <> '')"
+    single = ", ".join(f"'{a}': '{b}'" for a, b in EQUIVALENT.items() if " " not in a)
+    word = f"coalesce(map_extract(MAP {{{single}}}, w)[1], w)"
+    words = "list_filter(string_split(regexp_replace(l, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    spelt = f"'  ' || array_to_string(list_transform({words}, lambda w: {word}), '  ') || '  '"
+    for a, b in EQUIVALENT.items():
+        if " " in a:
+            spelt = f"regexp_replace({spelt}, ' {a.replace(' ', '  ')} ', ' {b} ', 'g')"
+    keeps = "NOT regexp_matches(l, '^[^0-9A-Za-z_]*(copyright|\\(c\\)|©)')"
+    canonical = f"list_filter(list_transform(list_filter(string_split(lower(%s), chr(10)), lambda l: {keeps}), lambda l: trim(regexp_replace({spelt}, ' +', ' ', 'g'))), lambda l: l <> '')"
     return f"""
         WITH known_texts(license, text) AS (VALUES {rows}),
-        known_lines AS (SELECT license, array_to_string({lines}, ' ') AS body FROM known_texts),
-        known AS (SELECT sha256(body) AS digest, min(license) AS license FROM known_lines GROUP BY 1),
-        base AS (SELECT row_number() OVER () AS r, doc_id, {lines} AS lines FROM documents),
-        whole AS (SELECT r, doc_id, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS text_digest FROM base),
-        single AS (SELECT r, sha256(unnest(lines)) AS digest FROM base),
-        notices AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM single JOIN known USING (digest) GROUP BY r)
+        known AS (
+            SELECT digest, min(license) AS license FROM (
+                SELECT sha256(array_to_string({canonical % "text"}, ' ')) AS digest, license FROM known_texts
+                UNION ALL SELECT digest, license FROM read_csv('{DIGESTS}', header = true, columns = {{'license': 'VARCHAR', 'digest': 'VARCHAR'}})) GROUP BY 1),
+        base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        parts AS (SELECT r, doc_id, list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda p: {canonical % "p"}) AS parts FROM base),
+        lines AS (SELECT r, doc_id, parts, flatten(parts) AS lines FROM parts),
+        whole AS (SELECT r, doc_id, CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END AS text_digest FROM lines),
+        units AS (
+            SELECT r, unnest(lines) AS body FROM lines
+            UNION ALL SELECT r, array_to_string(p, ' ') FROM (SELECT r, unnest(parts) AS p FROM lines) WHERE len(p) > 1),
+        notices AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM units JOIN known ON digest = sha256(body) GROUP BY r)
         SELECT doc_id, text_digest, license, coalesce(n, 0) AS n_notices, coalesce(names, '') AS notices
         FROM whole LEFT JOIN known ON digest = text_digest LEFT JOIN notices USING (r)"""
