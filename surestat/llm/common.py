@@ -41,17 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, which release() deletes."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder (by the session's codec, or the one that is named): cuts the lineage, survives lost executors, is read column by column."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path, compression=compression)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Deletes the tables that written() made; call it once results that read them are stored."""
+    """Deletes the tables that written() made and new_folder()'s; call it once results that read them are stored."""
     while _written:
         spark, path = _written.pop()
         try:
