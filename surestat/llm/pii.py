@@ -12,7 +12,7 @@ Learning takes at most TRAIN_DOCS texts that hold such characters or names (smal
 base spans, assignments to secret-like names (a word without such characters only after ':' or '=') and public key formats as
 labels. Finding covers every whole text.
 
-Defined results: null and empty texts have no spans; equal spans of one kind are reported once; n_* count base spans; repeated rows each give their
+Defined results: null and empty texts have no spans; equal spans of one kind are reported once; n_email to n_phone count base spans, and n_spans all spans; repeated rows each give their
 own row; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -331,7 +331,7 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def found(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -344,7 +344,8 @@ def found(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             rows = [find(t, model) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == name for s in base) for base, _ in rows], pa.int64()) for name in KINDS[:4]]
             sha = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string())
-            return pa.RecordBatch.from_arrays([b.column(0), *counts, sha, pa.array([joined(every) for _, every in rows], pa.string())], ["key", *(x.split()[0] for x in FOUND.split(", "))])
+            every = pa.array([joined(every) for _, every in rows], pa.string()), pa.array([len(every) for _, every in rows], pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0), *counts, sha, *every], ["key", *(x.split()[0] for x in FOUND.split(", "))])
 
         return handle
 
