@@ -29,9 +29,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near copies (five-word shingles, similarity 0.8)."""
-    gone = dedup.components(docs, k=5).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8), that of the smallest doc_id.
+
+    Rows are judged by their own texts: one of repeated rows stays; a text of its own stays though its id is also that of a copy;
+    null ids come last; texts without words all stay."""
+    return dedup.one_of_each(docs, k=5)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,17 +7,19 @@ below. Bands of the signature are keys of buckets. Equal sets are one class from
 full sets:
  1. every member of a bucket against the bucket's smallest and its largest document: two links a member, however large it is;
  2. verified links are grouped (union-find within each partition, then stars over all partitions);
- 3. where a bucket still has members of different groups, those outside the group of a hub drawn for the bucket against that
-    hub, TURNS times; a document has as many different hubs as it has such buckets;
- 4. members of one bucket that are still in different groups, all against all of the other groups, large buckets in blocks
-    that put out links only. Pairs within a group can add nothing to it. So no link between groups that banding proposes
-    is lost, and no bucket is expanded into all its pairs.
+ 3. in buckets that still hold several groups, shingles are counted over all their members. Shingles that no other
+    member has can't be shared, so a set with too many of them has no link and is done with, however large its buckets are;
+ 4. the others are compared with the member of their bucket that has the least share of such shingles;
+ 5. members of one bucket that are still in different groups, all outside its main group against all of the other groups, small
+    buckets pair by pair, large ones in blocks of bytes that put out links only. Pairs within a group can add nothing to
+    it. So no link between groups that banding proposes is lost, and no bucket is expanded into all its pairs.
 
 32 bands of 5 ranks propose a pair of similarity 0.8 but for 3 in a million, and one of 0.9 but for one in 10^12.
 
-Defined results: null or wordless texts have 0 shingles, component_id = doc_id, and link with nothing; rows with a null doc_id
-link with nothing and have a null component_id and kept true; each of several rows with one doc_id takes the component of its own text; ties go to the
-smallest doc_id; an empty table gives an empty result; further columns are ignored.
+Defined results: null or wordless texts have 0 shingles, component_id = doc_id, kept true, and link with nothing; a row with a null doc_id
+belongs to the group of its text, whose component_id is null if no row of it has an id, and is kept if it is that group's least
+row, by the text's hash; each of several rows with one doc_id takes the component of its own text; ties go to the smallest
+doc_id; an empty table gives an empty result; further columns are ignored by components() and left as they are by one_of_each().
 """
 
 from __future__ import annotations
@@ -36,11 +38,10 @@ from .common import by_batch, only_memory, table, written
 POSITIONS, BANDS = 160, 32
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
-REMEMBERED = 500_000
-#: Rounds of one drawn hub a bucket before what is left is compared in full.
-TURNS = 2
-#: Buckets of so few members are compared pair by pair, others in blocks of about BLOCK members.
-FEW, BLOCK = 8, 256
+#: Bytes of words and hashes that a worker remembers.
+REMEMBERED = 100_000_000
+#: Buckets of so few members are compared pair by pair, others in blocks of about BLOCK_BYTES.
+FEW, BLOCK_BYTES = 8, 4_000_000
 #: Elements whose permutations are held at once.
 ELEMENTS = 32_768
 
@@ -57,18 +58,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 256:
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self.held += 170 + len(word)
+            self[word] = h
         return h
 
 
 _hashes = _WordHashes()
 
 
+def _forget() -> None:
+    _hashes.clear()
+    _hashes.held = 0
+
+
 def _begin() -> None:
-    only_memory("dedup", _hashes.clear)
+    only_memory("dedup", _forget)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -132,43 +144,58 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def signed(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n, digest, bands): the set's size, its 128-bit digest, and its band keys (null for an empty set)."""
-    kind = dict(docs.select(F.col(key).alias("doc")).dtypes)["doc"]
+def signed(docs: DataFrame, k: int) -> DataFrame:
+    """docs (doc, mark, text) to (doc, mark, n, digest, bands): the set's size, its 128-bit digest, and its band keys (null for an empty set)."""
 
     def make():
         _begin()
 
         def handle(b):
-            sets = [shingles(t, k) for t in b.column(1).to_pylist()]
+            sets = [shingles(t, k) for t in b.column(2).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = band_keys(super_minhash([sets[i] for i in full])) if full else np.empty((0, BANDS), np.int64)
             offsets = np.zeros(len(sets) + 1, np.int32)
             offsets[1:] = np.cumsum([BANDS if len(s) else 0 for s in sets])
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, bands], ["doc", "n", "digest", "bands"])
+            return pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(s) for s in sets], pa.int64()), digest, bands], ["doc", "mark", "n", "digest", "bands"])
 
         return handle
 
-    return by_batch(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), make, f"doc {kind}, n long, digest binary, bands array<long>")
+    return by_batch(docs.select("doc", "mark", "text"), make, "doc long, mark long, n long, digest binary, bands array<long>")
 
 
-def set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, elements): the sorted set as bytes."""
+def set_rows(texts: DataFrame, k: int) -> DataFrame:
+    """texts (node, text) to (node, elements): the sorted set as bytes."""
 
     def make():
         _begin()
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc", "elements"])
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "elements"])
+
+    return by_batch(texts, make, "node long, elements binary")
+
+
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """sets (node, elements) to (node, lone): how many of a set's shingles no other of these sets has; sets without any are left out."""
 
-    return by_batch(docs, make, "doc long, elements binary")
+    def make():
+        def handle(b):
+            held = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            node = b.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held])))
+            return pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(held) if held else np.empty(0, np.int64))], ["node", "shingle"])
+
+        return handle
+
+    rows = by_batch(sets.select("node", "elements"), make, "node long, shingle long")
+    lone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("sets")).where("sets = 1")
+    return lone.groupBy("node").agg(F.count("*").alias("lone"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Sets are unique by document; a document in many pairs is on
+    """The pairs (a, b) whose full sets are similar enough. Sets are unique by node; a node in many pairs is on
     the side that adaptive execution splits."""
-    near = pairs.join(sets.select(F.col("doc").alias("b"), F.col("elements").alias("right")), "b")
-    near = near.join(sets.select(F.col("doc").alias("a"), F.col("elements").alias("left")), "a").select("a", "b", "left", "right")
+    near = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
+    near = near.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a").select("a", "b", "left", "right")
 
     def make():
         def handle(batch):
@@ -186,22 +213,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_batch(near, make, "a long, b long")
 
 
+def within_reach(n: Column, o: Column, other_n: Column, percent: int) -> Column:
+    """Whether a set of n shingles, o of which others have too, can be similar enough to a set of other_n: with c in common the similarity
+    is c / (n + other_n - c), and c is at most o."""
+    return (100 + percent) * o >= percent * (n + other_n)
+
+
 def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the groups of one bucket's members (bucket, doc, c, members): every member outside the bucket's most
-    frequent group against all members of other groups.
-
-    Both sides are cut into blocks, so a task holds some hundred sets, and only one link of a member to each other group in a
-    block is put out; neither shuffled nor resulting rows grow with the square of a bucket."""
-    common = members.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    sides = members.join(common, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asking = sides.where("c <> main").withColumn("qb", block).withColumn("tb", every)
-    asked = sides.withColumn("tb", block).withColumn("qb", every)
+    """Links (a, b) that join the groups of one bucket's members (bucket, node, n, o, c): the members outside the bucket's most frequent
+    group, but for those that can't reach the bucket's smallest set, against all members of other groups.
+
+    Each side is cut into blocks of about BLOCK_BYTES, by its own size: a member is shipped once for each block of the other
+    side, so rows grow with the askers' bytes times the bucket's over BLOCK_BYTES, and a task holds two blocks. Only one link
+    of a member to each other group in a block is put out."""
+    cost = (8 * F.col("n") + 64).alias("cost")
+    main = members.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+    whole = members.groupBy("bucket").agg(F.min("n").alias("least"), F.ceil(F.sum(cost) / BLOCK_BYTES).cast("int").alias("targets"))
+    sides = members.join(whole.join(main, "bucket"), "bucket")
+    asking = sides.where("c <> main").where(within_reach(F.col("n"), F.col("o"), F.col("least"), percent))
+    asked = asking.groupBy("bucket").agg(F.ceil(F.sum(cost) / BLOCK_BYTES).cast("int").alias("askers"))
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asking = asking.join(asked, "bucket").withColumn("qb", block("askers")).withColumn("tb", every("targets"))
+    # a bucket in which nothing asks isn't shipped
+    targets = sides.join(asked, "bucket").withColumn("tb", block("targets")).withColumn("qb", every("askers"))
     keys = ["bucket", "qb", "tb"]
-    # a block of targets that nothing asks isn't shipped
-    wanted = asking.select(*keys).distinct()
-    both = asking.select(*keys, "doc", "c", F.lit(True).alias("asks")).union(asked.join(wanted, keys, "left_semi").select(*keys, "doc", "c", F.lit(False)))
+    both = asking.select(*keys, "node", "c", F.lit(True).alias("asks")).union(targets.select(*keys, "node", "c", F.lit(False)))
 
     def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
@@ -213,19 +250,21 @@ def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
             flat = np.concatenate(held)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            docs, groups = theirs["doc"].to_numpy(), theirs["c"].to_numpy()
-            for doc, c, raw in zip(mine["doc"].tolist(), mine["c"].tolist(), mine["elements"], strict=True):
+            nodes, groups = theirs["node"].to_numpy(), theirs["c"].to_numpy()
+            for node, c, raw in zip(mine["node"].tolist(), mine["c"].tolist(), mine["elements"], strict=True):
                 x = np.frombuffer(raw, np.uint64)
                 begin, end = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
                 n = end - begin
+                if 100 * np.count_nonzero(n) < percent * len(x):
+                    continue
                 at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 shared = np.bincount(owner[at], minlength=len(held))
                 near = np.flatnonzero((100 * shared >= percent * (len(x) + size - shared)) & (groups != c))
                 _, first = np.unique(groups[near], return_index=True)
-                found += [(min(doc, y), max(doc, y)) for y in docs[near[first]].tolist()]
+                found += [(min(node, y), max(node, y)) for y in nodes[near[first]].tolist()]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return both.join(sets, "doc").groupBy(keys).applyInPandas(links, "a long, b long").distinct()
+    return both.join(sets, "node").groupBy(keys).applyInPandas(links, "a long, b long").distinct()
 
 
 def _joined_here(edges: DataFrame) -> DataFrame:
@@ -278,62 +317,107 @@ def grouped(edges: DataFrame) -> DataFrame:
         links = written(down.union(least).distinct(), "small-star")
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row of docs."""
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = written(signed(docs, k, "doc"), "signatures")
-    one = rows.where("n > 0 AND doc IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc", "n", "bands")).alias("x"))
-    classes = written(one.select("digest", "x.*"), "classes")
+def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc, mark, text), a row each: (doc, mark, n, digest), and for each distinct set (digest, no, least_doc, least_mark), the
+    least row of the group that the set belongs to; `no` tells that the row has no doc. Rows with a doc come first.
+
+    A set is a node, with a number of its own, so texts that share a doc stay apart. Its text is found again by
+    the (doc, mark) of its least row; mark is a hash of the text."""
+    rows = written(signed(docs, k), "signatures")
+    first = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "mark", "n", "bands"))
+    one = rows.where("n > 0").groupBy("digest").agg(first.alias("x"))
+    classes = written(one.select(F.monotonically_increasing_id().alias("node"), "digest", "x.*"), "classes")
 
     # buckets with two classes or more
-    banded = classes.select("doc", "n", F.explode("bands").alias("bucket"))
-    ends = banded.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("low"), F.max(F.struct("doc", "n")).alias("high")).where("low.doc < high.doc")
+    banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    ends = banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node < high.node")
     shared = written(banded.join(ends, "bucket"), "buckets")
-    involved = shared.select("doc").distinct()
-    sets = written(set_rows(docs.join(involved, "doc", "left_semi").dropDuplicates(), k), "sets")
-
-    alike = F.expr(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    involved = classes.join(shared.select("node").distinct(), "node", "left_semi")
+    place = [F.coalesce("doc", F.lit(0)).alias("at"), "mark"]
+    texts = docs.select(*place, "text").join(involved.select("node", *place), ["at", "mark"]).select("node", "text").dropDuplicates(["node"])
+    sets = written(set_rows(texts, k), "sets")
 
     def pairs(rows: DataFrame, tried: DataFrame | None, label: str) -> DataFrame:
         """rows (a, an, b, bn) as distinct pairs a < b of sizes that allow a link, without those tried before."""
+        alike = F.expr(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
         rows = rows.where(F.col("a") != F.col("b")).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return written(rows.join(tried, ["a", "b"], "left_anti") if tried is not None else rows, label)
 
     def ends_of(x: str, y: str) -> list[Column]:
-        return [F.col(f"{x}.doc").alias("a"), F.col(f"{x}.n").alias("an"), F.col(f"{y}.doc").alias("b"), F.col(f"{y}.n").alias("bn")]
+        return [F.col(f"{x}.node").alias("a"), F.col(f"{x}.n").alias("an"), F.col(f"{y}.node").alias("b"), F.col(f"{y}.n").alias("bn")]
 
-    shared = shared.select("bucket", F.struct("doc", "n").alias("own"), "low", "high")
-    tried = pairs(shared.select(*ends_of("low", "own")).union(shared.select(*ends_of("own", "high"))), None, "pairs")
-    links = verified(tried, sets, percent)
-    found = written(grouped(links), "groups")
+    own = shared.select("bucket", F.struct("node", "n").alias("own"), "low", "high")
+    tried = pairs(own.select(*ends_of("low", "own")).union(own.select(*ends_of("own", "high"))), None, "pairs")
+    found = written(grouped(verified(tried, sets, percent)), "groups")
+
+    def placed(members: DataFrame) -> DataFrame:
+        """Members with their groups c, of buckets that hold several groups."""
+        members = members.join(found.select(F.col("doc").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        several = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members")).where("c0 < c1")
+        return members.join(several.select("bucket", "members"), "bucket")
 
     def joined(more: DataFrame) -> DataFrame:
         return written(grouped(more.union(found.select(F.col("component").alias("a"), F.col("doc").alias("b")))), "groups")
 
-    for turn in range(TURNS + 1):
-        # members of a bucket that are still in different groups
-        placed = shared.select("bucket", "own.doc", "own.n").join(found, "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("c"))
-        hub = F.min_by(F.struct("doc", "n", "c"), F.xxhash64("doc", "bucket", F.lit(turn))).alias("hub")
-        split = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members"), hub).where("c0 < c1").select("bucket", "hub", "members")
-        open_ = written(placed.join(split, "bucket"), "open-buckets")
-        if turn < TURNS:
-            asked = open_.where("c <> hub.c").select("hub", F.struct("doc", "n").alias("own")).select(*ends_of("hub", "own"))
-        else:
-            few = open_.where(F.col("members") <= FEW)
-            left, right = (few.select("bucket", F.struct("doc", "n").alias(x), F.col("c").alias(f"{x}c")) for x in ("x", "y"))
-            asked = left.join(right, "bucket").where("x.doc < y.doc AND xc <> yc").where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").select(*ends_of("x", "y"))
-        asked = pairs(asked, tried, "more-pairs")
-        more = written(verified(asked, sets, percent), "verified")
-        if turn == TURNS:
-            more = more.union(written(compared_in_blocks(open_.where(F.col("members") > FEW), sets, percent), "verified"))
-        if not more.isEmpty():
-            found = joined(more)
-        tried = tried.union(asked)
-
-    of_class = classes.select("digest", "doc").join(found, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    out = rows.drop("bands").join(of_class, "digest", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    # o: how many shingles another set of an open bucket has too; a set without enough of them has no link
+    open_ = written(placed(shared.select("bucket", "node", "n")).drop("c", "members"), "open-buckets")
+    lone = lone_shingles(sets.join(open_.select("node").distinct(), "node", "left_semi"))
+    able = open_.join(lone, "node", "left").withColumn("o", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    able = written(able.where(within_reach(F.col("n"), F.col("o"), F.ceil(F.col("n") * percent / 100), percent)), "able")
+
+    # the member with the least share of shingles of its own is the likeliest to be linked with the others
+    left = placed(able)
+    hub = F.min_by(F.struct("node", "n", "c"), F.struct((F.col("n") - F.col("o")) / F.col("n"), F.xxhash64("node", "bucket"))).alias("hub")
+    asked = left.join(left.groupBy("bucket").agg(hub), "bucket").where("c <> hub.c").select("hub", F.struct("node", "n").alias("own")).select(*ends_of("hub", "own"))
+    asked = pairs(asked, tried, "hub-pairs")
+    found, tried = joined(verified(asked, sets, percent)), tried.union(asked)
+
+    left = written(placed(able), "left")
+    few = left.where(F.col("members") <= FEW)
+    x, y = (few.select("bucket", F.struct("node", "n", "o", "c").alias(s)) for s in ("x", "y"))
+    reach = within_reach(F.col("x.n"), F.least("x.o", "y.o"), F.col("y.n"), percent)
+    asked = pairs(x.join(y, "bucket").where("x.node < y.node AND x.c <> y.c").where(reach).select(*ends_of("x", "y")), tried, "few-pairs")
+    found = joined(verified(asked, sets, percent).union(compared_in_blocks(left.where(F.col("members") > FEW), sets, percent)))
+
+    own = classes.select("digest", "node", F.struct("no", "doc", "mark").alias("row"))
+    in_groups = own.join(found.select(F.col("doc").alias("node"), "component"), "node", "left").select("digest", "row", F.coalesce("component", "node").alias("component"))
+    least = in_groups.groupBy("component").agg(F.min("row").alias("least"))
+    of_set = in_groups.join(least, "component").select("digest", F.col("least.no").alias("no"), F.col("least.doc").alias("least_doc"), F.col("least.mark").alias("least_mark"))
+    return rows.drop("bands"), of_set
+
+
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row of docs."""
+    rows, of_set = linked(_marked(docs, key, text), k, percent)
+    out = rows.join(of_set, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("least_doc")).otherwise(F.col("doc"))
+    nameless = F.when(F.col("n") > 0, F.col("no") & (F.col("mark") == F.col("least_mark"))).otherwise(True)
+    kept = F.when(F.col("doc").isNotNull(), F.col("doc") == component).otherwise(nameless)
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group: of the smallest key, null last, then of the smallest hash of the text. Rows are judged each by
+    its own text: one that shares its key with a copy stays if its text has no other row. Of repeated rows (equal key
+    and text) one stays, whichever. Rows without words are all left."""
+    rows, of_set = linked(_marked(docs, key, text), k, percent)
+    judged = rows.where("n > 0").join(of_set, "digest").select("doc", "mark", F.col("doc").eqNullSafe(F.col("least_doc")) & (F.col("mark") == F.col("least_mark")).alias("stays"))
+    judged = judged.toDF("doc", "mark", "stays").groupBy(F.col("doc").isNull().alias("__no"), F.coalesce("doc", F.lit(0)).alias("__at"), F.col("mark").alias("__mark")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    judged = written(judged.where("NOT stays OR n > 1"), "judged")
+    names = ["__no", "__at", "__mark"]
+    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).cast("long").alias("__key"), F.xxhash64(text).alias("__mark"))
+    own = own.select("__row", F.col("__key").isNull().alias("__no"), F.coalesce("__key", F.lit(0)).alias("__at"), "__mark")
+    single = own.join(judged.select(*names), names, "left_anti").select("__row.*")
+    again = judged.where("stays")
+    if again.isEmpty():
+        return single
+    # equal rows meet before the shuffle already
+    once = own.join(again.select(*names), names, "left_semi").groupBy(*names).agg(F.first("__row").alias("__row"))
+    return single.unionByName(once.select("__row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
