@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows handled at once inside an Arrow function; bounds a worker's memory.
 ROWS_AT_ONCE = 512
 
-#: Rows of a batch between the JVM and its workers.
-ARROW_ROWS = 1024
+#: Rows and bytes of a batch between the JVM and its workers.
+ARROW_ROWS, ARROW_BYTES = 1024, 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -48,11 +48,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder (by the session's codec, or the one that is named): cuts the lineage, survives lost executors, is read column by column."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, written with options: cuts the lineage, survives lost executors, is read column by column."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,10 +90,13 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     """mapInArrow in slices of ROWS_AT_ONCE. make() runs once in each task and returns the function of a slice.
 
     Arrow's buffers lie outside the heap on both sides and grow with a batch's texts, so the session's batches are held to
-    ARROW_ROWS rows, unless it has set fewer."""
+    ARROW_ROWS rows and ARROW_BYTES bytes, unless it has set less."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    size = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not 0 < size <= ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = make()

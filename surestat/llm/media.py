@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import by_batch, table, written
 
 WIDTH = 64
+ROW_GROUP_BYTES = str(16 << 20)
 PART = "struct<pos:int,kind:string,text:string,ref:string,caption:string>"
 _SILENT = {"script", "style", "template"}
 _BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "li", "ul", "ol", "nav", "figure", "br", "tr", "td", "table", "title", "body"}
@@ -176,7 +177,8 @@ def stored_media(pages: DataFrame) -> DataFrame:
     def make():
         return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.decompress(x) for x in b.column(2).to_pylist()], pa.binary())], ["digest", "n_bytes", "media"])
 
-    return written(by_batch(once, make, "digest string, n_bytes long, media binary"), "media-store", compression="zstd")
+    # small row groups: a writing task holds one
+    return written(by_batch(once, make, "digest string, n_bytes long, media binary"), "media-store", **{"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES})
 
 
 def media_store(pages: DataFrame) -> DataFrame:
