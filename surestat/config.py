@@ -57,6 +57,8 @@ HOSPITAL_STOPS = [
 EXAM_HEADINGS = ["Physical Exam", "Physical Examination", "PE", "Admission PE", "Pertinent Results"]
 
 # Phrases that begin an explanation after a name.
+ENTAILMENT_SENTENCE = "The patient is diagnosed with {}."
+MAPPED_DETAIL, UNMAPPED_DETAIL, DETAIL_SEPARATOR, NO_DETAIL = "%s  -> mapped ->  %s (Bi:%s)", "%s -> UNMAPPED", " | ", "None"
 EXPLANATIONS = ["cannot be", "due to", "secondary to", "despite", "likely", "possible", "probable", "concerning for", "rule out", "suspected"]
 # -------------------------------------------------------------------------------------------------------------------
 

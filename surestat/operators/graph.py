@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,12 @@ from pyspark.sql import functions as F
 from ..config import HIERARCHY_RELATION, RELATION_WEIGHTS, TARGET_TYPES
 from ..functions import numeric as N
 
-#: A graph of more edges walks by joins (walk), not from memory (walk_in_memory); 16 bytes an edge and worker.
-EDGES_IN_MEMORY = 20_000_000
+#: A graph whose transitions take more bytes than this in a worker walks by joins (walk), not from memory (walk_in_memory).
+EDGE_BYTES, MEMORY_BYTES = 12, 256_000_000
+#: Notes that walk together, and bytes that a step gathers at once.
+NOTES, STEP_BYTES = 32, 16_000_000
+
+_built: dict = {}
 
 
 def valid_edges(edges: DataFrame) -> DataFrame:
@@ -77,24 +83,27 @@ def targets(node_table: DataFrame) -> DataFrame:
 
 def pagerank(tree: DataFrame, members: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
     """(index, rank). Power iteration; mass of nodes without an edge out spreads evenly; stops early when the L1 change is below
-    nodes x tolerance (None: never). One number goes to the driver each step, and lineage is cut every fifth."""
+    nodes x tolerance (None: never). Each step's ranks are checkpointed, so plans don't grow; the change and the loose mass
+    come to the driver."""
     n = members.count()
     if not n:
         return members.withColumn("rank", F.lit(0.0))
     out = tree.groupBy("src").agg(F.count("*").alias("out"))
     moves = tree.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("q")).persist()
-    dangling = members.join(out, F.col("index") == F.col("src"), "left_anti").persist()
-    rank = members.withColumn("rank", F.lit(1.0 / n))
-    for step in range(1, steps + 1):
-        loose = rank.join(dangling, "index", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
+    rank = members.join(out.select(F.col("src").alias("index"), F.lit(False).alias("dangling")), "index", "left")
+    rank = rank.select("index", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("was")).checkpoint()
+    loose = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))
+    mass = rank.agg(loose).first()[0]
+    for _ in range(steps):
         come = moves.join(rank, F.col("src") == F.col("index")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("q")).alias("come"))
-        base = (1 - damping) / n + damping * loose / n
-        new = rank.join(come, F.col("index") == F.col("dst"), "left").select("index", F.col("rank").alias("was"), (F.lit(base) + damping * F.coalesce("come", F.lit(0.0))).alias("rank"))
-        new = new.checkpoint() if step % 5 == 0 else new.persist()
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance:
-            return new.select("index", "rank")
-        rank = new.select("index", "rank")
-    return rank
+        base = (1 - damping) / n + damping * mass / n
+        new = rank.join(come, F.col("index") == F.col("dst"), "left").select("index", "dangling", (F.lit(base) + damping * F.coalesce("come", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
+        rank = new.checkpoint()
+        mass, change = rank.agg(loose, F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        if tolerance is not None and change < n * tolerance:
+            break
+    moves.unpersist()
+    return rank.select("index", "rank")
 
 
 def specificity(ranks: DataFrame) -> DataFrame:
@@ -116,52 +125,144 @@ def anchors(starts: DataFrame, node_table: DataFrame, embeddings: DataFrame, spe
     return scored.withColumn("prob", F.when(total > 0, F.col("W") / total).otherwise(1 / F.count("*").over(whole)))
 
 
-def walk(q: DataFrame, start: DataFrame, steps: int = 50, restart: float = 0.2) -> DataFrame:
-    """(note, index, p) after a fixed number of steps from start (note, index, prob), all notes at once, by joins.
-
-    Mass at nodes without transitions goes back to the start. Lineage is cut every fifth step."""
+def walk(q: DataFrame, start: DataFrame, steps: int = 50, restart: float = 0.2, tolerance: float | None = 1e-6) -> DataFrame:
+    """(note, index, p) after at most `steps` steps from start (note, index, prob), all notes at once, by joins; a note stops when its
+    L1 change is below tolerance (None: never). Mass at nodes without transitions goes back to the start. Each step's rows are
+    checkpointed."""
     start = start.select("note", "index", "prob").persist()
     known = q.select(F.col("src").alias("index")).distinct().withColumn("moves", F.lit(True)).persist()
     q, p = q.persist(), start.withColumnRenamed("prob", "p")
-    for step in range(1, steps + 1):
+    settled = None
+    for _ in range(steps):
         moved = p.join(q, F.col("index") == F.col("src")).select("note", F.col("dst").alias("index"), ((1 - restart) * F.col("p") * F.col("q")).alias("p"))
         loose = p.join(known, "index", "left").where("moves IS NULL").groupBy("note").agg(F.sum("p").alias("loose"))
-        back = start.join(loose, "note", "left").select("note", "index", (F.col("prob") * (restart + (1 - restart) * F.coalesce("loose", F.lit(0.0)))).alias("p"))
-        p = moved.unionByName(back).groupBy("note", "index").agg(F.sum("p").alias("p"))
-        p = p.checkpoint() if step % 5 == 0 else p.persist()  # read twice by the next step
-    return p
+        live = start.join(p.select("note").distinct(), "note", "left_semi")
+        back = live.join(loose, "note", "left").select("note", "index", (F.col("prob") * (restart + (1 - restart) * F.coalesce("loose", F.lit(0.0)))).alias("p"))
+        rows = moved.unionByName(back).withColumn("was", F.lit(0.0)).unionByName(p.select("note", "index", F.lit(0.0).alias("p"), F.col("p").alias("was")))
+        new = rows.groupBy("note", "index").agg(F.sum("p").alias("p"), F.sum("was").alias("was")).checkpoint()
+        p = new.select("note", "index", "p")
+        if tolerance is None:
+            continue
+        done = new.groupBy("note").agg(F.sum(F.abs(F.col("p") - F.col("was"))).alias("change")).where(F.col("change") < tolerance).select("note").checkpoint()
+        if not done.isEmpty():
+            over = p.join(done, "note", "left_semi")
+            settled = over if settled is None else settled.unionByName(over)
+            p = p.join(done, "note", "left_anti").checkpoint()
+            if p.isEmpty():
+                break
+    for x in (start, known, q):
+        x.unpersist()
+    return (p if settled is None else p.unionByName(settled)).where("p <> 0")
+
+
+class Moves:
+    """Transitions by target: targets of equal in-degree form one dense array, so a step of a block of notes is a few matrix products."""
+
+    def __init__(self, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> None:
+        self.ids = ids
+        order = np.lexsort((src, dst))
+        src, w, dst = src[order], w[order], dst[order]
+        first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]) if len(dst) else np.empty(0, np.int64)
+        size = np.diff(np.r_[first, len(dst)])
+        self.groups = []
+        for d in np.unique(size):
+            at = first[size == d]
+            entries = at[:, None] + np.arange(d)
+            self.groups.append((dst[at], src[entries], w[entries][:, None, :]))
+        self.moving = np.zeros(len(ids), bool)
+        self.moving[src] = True
+
+    def step(self, x: np.ndarray) -> np.ndarray:
+        """What comes to each node (nodes x notes)."""
+        out = np.zeros_like(x)
+        for targets, sources, weights in self.groups:
+            rows = max(1, STEP_BYTES // (8 * sources.shape[1] * x.shape[1]))
+            for i in range(0, len(targets), rows):
+                out[targets[i : i + rows]] = (weights[i : i + rows] @ x[sources[i : i + rows]])[:, 0]
+        return out
+
+    def walked(self, every: np.ndarray, p0: np.ndarray, steps: int, restart: float, tolerance: float | None) -> np.ndarray:
+        """Columns of p0 after their walks; every: the graph's nodes, then start nodes that aren't in it."""
+        n = len(self.ids)
+        stuck = np.r_[~self.moving, np.ones(len(every) - n, bool)]
+        out, live, x = p0.copy(), np.arange(p0.shape[1]), p0
+        for _ in range(steps):
+            start = p0[:, live]
+            new = x[stuck].sum(0) * start
+            new[:n] += self.step(x[:n])
+            new = (1 - restart) * new + restart * start
+            change, x = np.abs(new - x).sum(0), new
+            if tolerance is not None and (done := change < tolerance).any():
+                out[:, live[done]] = x[:, done]
+                live, x = live[~done], x[:, ~done]
+                if not len(live):
+                    break
+        out[:, live] = x
+        return out
+
+
+def fits_in_memory(n_edges: int) -> bool:
+    return EDGE_BYTES * n_edges <= MEMORY_BYTES
+
+
+def shared_moves(q: DataFrame) -> Callable[[], Moves]:
+    """The transitions for every worker: arrays that are broadcast, of which each worker builds its Moves once."""
+    rows = q.select("src", "dst", "q").toArrow()
+    src, dst, w = (rows.column(i).to_numpy() for i in range(3))
+    ids = np.unique(np.concatenate([src, dst])).astype(np.int64)
+    arrays = ids, np.searchsorted(ids, src).astype(np.int32), np.searchsorted(ids, dst).astype(np.int32), w.astype(np.float64)
+    shared, token = q.sparkSession.sparkContext.broadcast(arrays), uuid.uuid4().hex
+
+    def get() -> Moves:
+        if token not in _built:
+            _built.clear()
+            _built[token] = Moves(*shared.value)
+        return _built[token]
+
+    return get
+
+
+def walk_blocks(starts: DataFrame, moves: Callable[[], Moves], finish: Callable, schema: str, steps: int, restart: float, tolerance: float | None) -> DataFrame:
+    """Walks for blocks of about NOTES notes. starts (note, index, prob, and more) may have rows without prob, which start nothing.
+    finish(rows, notes, every, p) makes the block's result from its rows, notes, nodes (in rising order but for start
+    nodes outside the graph, which come last) and probabilities (nodes x notes)."""
+    blocks = max(1, -(-starts.select("note").distinct().count() // NOTES))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        matrix, found = moves(), []
+        notes = np.unique(rows["note"].to_numpy())
+        for i in range(0, len(notes), NOTES):
+            some = notes[i : i + NOTES]
+            own = rows[rows["note"].isin(some)]
+            began = own[own["prob"].notna()]
+            index = began["index"].to_numpy(np.int64)
+            every = np.concatenate([matrix.ids, np.setdiff1d(index, matrix.ids)])
+            p0 = np.zeros((len(every), len(some)))
+            np.add.at(p0, (places(every, index), np.searchsorted(some, began["note"].to_numpy())), began["prob"].to_numpy(np.float64))
+            found.append(finish(own, some, every, matrix.walked(every, p0, steps, restart, tolerance)))
+        return pd.concat(found)
+
+    return starts.groupBy(F.pmod(F.xxhash64("note"), F.lit(blocks)).alias("block")).applyInPandas(run, schema)
+
+
+def places(every: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Where each index is in every, -1 where it isn't."""
+    order = np.argsort(every, kind="stable")
+    at = np.minimum(np.searchsorted(every, index, sorter=order), len(every) - 1) if len(every) else np.zeros(len(index), np.int64)
+    return np.where(every[order[at]] == index, order[at], -1) if len(every) else at - 1
 
 
 def walk_in_memory(q: DataFrame, start: DataFrame, steps: int = 50, restart: float = 0.2, tolerance: float | None = 1e-6, n_edges: int | None = None) -> DataFrame:
-    """As walk(), a group of notes at a time over a broadcast sparse matrix; stops a note when its L1 change is below
-    tolerance. A graph beyond EDGES_IN_MEMORY goes by joins instead."""
-    n_edges = q.count() if n_edges is None else n_edges
-    if n_edges > EDGES_IN_MEMORY:
-        return walk(q, start, steps, restart)
-    rows = q.select("src", "dst", "q").toPandas().sort_values(["src", "dst"])
-    ids = np.unique(np.concatenate([rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64)]))
-    src, dst = np.searchsorted(ids, rows["src"].to_numpy()), np.searchsorted(ids, rows["dst"].to_numpy())
-    shared = q.sparkSession.sparkContext.broadcast((ids, src, dst, rows["q"].to_numpy(np.float64)))
-
-    def one(note: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ids, src, dst, w = shared.value
-        began = group["index"].to_numpy(np.int64)
-        every = np.concatenate([ids, np.setdiff1d(began, ids)])  # start nodes without transitions come last
-        order = np.argsort(every, kind="stable")
-        at = order[np.searchsorted(every, began, sorter=order)]
-        p0 = np.bincount(at, group["prob"].to_numpy(np.float64), len(every))
-        moves = np.zeros(len(every), bool)
-        moves[src] = True
-        p = p0
-        for _ in range(steps):
-            new = (1 - restart) * (np.bincount(dst, p[src] * w, len(every)) + p[~moves].sum() * p0) + restart * p0
-            change, p = np.abs(new - p).sum(), new
-            if tolerance is not None and change < tolerance:
-                break
-        there = np.flatnonzero(p)
-        return pd.DataFrame({"note": note[0], "index": every[there], "p": p[there]})
+    """As walk(), blocks of notes at a time over a broadcast matrix. A graph whose arrays pass MEMORY_BYTES goes by joins,
+    with the same rule. Puts out every node that a note reaches; expansion.scored() keeps what a run needs."""
+    if not fits_in_memory(q.count() if n_edges is None else n_edges):
+        return walk(q, start, steps, restart, tolerance)
+
+    def finish(rows: pd.DataFrame, notes: np.ndarray, every: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+        column, node = np.nonzero(p.T)
+        return pd.DataFrame({"note": notes[column], "index": every[node], "p": p[node, column]})
 
-    return start.groupBy("note").applyInPandas(one, f"note {dict(start.dtypes)['note']}, index long, p double")
+    return walk_blocks(start, shared_moves(q), finish, f"note {dict(start.dtypes)['note']}, index long, p double", steps, restart, tolerance)
 
 
 def share_below(scores: DataFrame, group: str, score: str) -> DataFrame:

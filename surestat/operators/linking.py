@@ -10,22 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from ..config import NO_DETAIL
 from ..functions import numeric as N
+from ..functions import text as T
 
-#: Names whose vectors are compared at once with a batch of graph nodes.
-BLOCK = 4096
+#: Names whose vectors are compared at once, and graph nodes that they are compared with.
+BLOCK, PART = 4096, 16_384
 
 
 def nearest(entities: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """(entity, index, sim, rank): each entity's k nodes of greatest cosine, ties to the smaller node index.
 
-    Entities (entity, vec) go in blocks; each batch of nodes (index, vec) is compared by matrix product with one
-    block and keeps only its k best, so what is shuffled is k rows an entity and batch, never all pairs."""
-    n = entities.count()
-    blocks = max(1, -(-n // BLOCK))
+    Entities (entity, vec) go in blocks of about BLOCK, nodes (index, vec) in parts of about PART; a task compares one of each by matrix
+    product and keeps the k best of each entity, so k rows an entity and part are shuffled, never all pairs."""
+    blocks, parts = max(1, -(-entities.count() // BLOCK)), max(1, -(-nodes.count() // PART))
     ent = entities.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
-    dealt = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("index"), F.lit(_parts(nodes))).cast("int"))
-    spread = ent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_parts(nodes) - 1))))
+    dealt = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("index"), F.lit(parts)).cast("int"))
+    spread = ent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     kind = dict(entities.dtypes)["entity"]
 
     def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -43,10 +44,6 @@ def nearest(entities: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _parts(nodes: DataFrame) -> int:
-    return max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-
-
 def linked(candidates: DataFrame, entailed: DataFrame | None = None, threshold: float = 0.70) -> DataFrame:
     """(entity, index, sim): of nearest()'s rows the first in rank at the threshold or above that is entailed. entailed has (entity, index);
     None counts all as entailed."""
@@ -62,6 +59,35 @@ def mapping_rates(mapped: DataFrame, total: DataFrame, note: str = "index") -> D
     return total.join(hit, note, "left").select(note, F.coalesce(F.try_divide(F.coalesce("hit", F.lit(0)), F.col("total")), F.lit(0.0)).alias("rate"))
 
 
+def mapping_details(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(note, ord, name, index, detail): names (note, ord, name) with the node of links (name, index, node, sim), or without."""
+    found = names.join(links, "name", "left")
+    return found.select("note", "ord", "name", "index", T.similarity_detail(F.col("name"), F.col("node"), F.col("sim")).alias("detail"))
+
+
+def mapping_stats(notes: DataFrame, context: DataFrame, generated: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """A row of schemas.MAPPING_STATS for each note (index): shares of mapped names and what is said of them, in the names' order.
+
+    Both inputs are mapping_details(). The context's share counts distinct nodes, so entities that share a node count
+    once; of generated names those count, and are told of, whose node is in valid (index), all if that is None."""
+    said = lambda keep: T.joined_details(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("ord", "name", "detail")))), lambda x: x["detail"]))
+    own = context.groupBy("note").agg(F.count("*").alias("n"), F.count_distinct("index").alias("nodes"), said(F.lit(True)).alias("qwen_similarities"))
+    made = generated if valid is None else generated.join(valid.select("index", F.lit(True).alias("good")), "index", "left")
+    good = F.col("index").isNotNull() if valid is None else F.col("good")
+    made = made.groupBy("note").agg(F.count("*").alias("total"), F.count(F.when(good, 1)).alias("mapped"), said(good).alias("kg_similarities"))
+    rate = lambda part, whole: F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
+    out = notes.select(F.col("index").alias("note")).distinct().join(own, "note", "left").join(made, "note", "left")
+    none = F.lit(NO_DETAIL)
+    return out.select(
+        F.col("note").alias("index"),
+        rate("nodes", "n").alias("qwen_mapping_rate"),
+        F.coalesce("qwen_similarities", none).alias("qwen_similarities"),
+        F.coalesce("nodes", F.lit(0)).cast("long").alias("num_starting_nodes"),
+        rate("mapped", "total").alias("kg_mapping_rate"),
+        F.coalesce("kg_similarities", none).alias("kg_similarities"),
+    )
+
+
 def normalised_vectors(rows: DataFrame, vec: str = "vec") -> DataFrame:
     return rows.withColumn(vec, N.normalised(F.col(vec)))
 

@@ -68,6 +68,7 @@ def leader_clusters(samples: DataFrame, entailed: DataFrame | None = None, num_s
 
     if entailed is None:
         return first.groupBy(note).applyInPandas(lambda x: place(x, None), schema)
+    entailed = entailed.select(*(F.col(c).alias(c) for c in (note, "a", "b")))  # may come from the same rows
     return first.groupBy(note).cogroup(entailed.groupBy(note)).applyInPandas(lambda x, y: place(x, y) if len(x) else pd.DataFrame(columns=[note, "disease", "uq"]), schema)
 
 

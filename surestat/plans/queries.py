@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
+from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import evaluate, expansion, fusion, graph, linking, sampling, tokens
-from ..sources import tables
+from ..sources import sinks, tables
 from .views import in_spark, in_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-STEPS = 6
+SETTINGS = Settings()
+#: Steps of the walk by joins, whose rows are notes x edges a step; the walk over blocks of notes goes all of Settings.walk_steps.
+JOIN_STEPS = 6
 
 
 def query(sql: str | None = None, recursive: str = "") -> Callable[[Query], Query]:
@@ -312,46 +316,68 @@ def transition_matrix(spark, d):
     return rounded(graph.transitions(graph.weighted_edges(_valid(spark, d))), 9)
 
 
-_RANK = """ranks(k, index, rank) AS (
-        SELECT 0, index, 1.0e0 / (SELECT count(*) FROM {members}) FROM {members}
+_RANK = f"""ranks(k, index, rank) AS (
+        SELECT 0, index, 1.0e0 / (SELECT count(*) FROM {{members}}) FROM {{members}}
         UNION ALL
-        SELECT min(k) + 1, index, 0.15e0 / (SELECT count(*) FROM {members}) + 0.85e0 * sum(x) FROM (
-            SELECT r.k, m.dst AS index, r.rank * m.q AS x FROM ranks r JOIN {moves} m ON r.index = m.src WHERE r.k < %d
+        SELECT min(k) + 1, index, 0.15e0 / (SELECT count(*) FROM {{members}}) + 0.85e0 * sum(x) FROM (
+            SELECT r.k, m.dst AS index, r.rank * m.q AS x FROM ranks r JOIN {{moves}} m ON r.index = m.src WHERE r.k < {SETTINGS.rank_steps}
             UNION ALL
-            SELECT r.k, t.index, l.loose / (SELECT count(*) FROM {members}) FROM ranks r JOIN {members} t ON r.index = t.index
-                CROSS JOIN (SELECT sum(rank) AS loose FROM ranks WHERE index NOT IN (SELECT src FROM {moves})) l WHERE r.k < %d)
-        GROUP BY index)""" % (STEPS, STEPS)
+            SELECT r.k, t.index, l.loose / (SELECT count(*) FROM {{members}}) FROM ranks r JOIN {{members}} t ON r.index = t.index
+                CROSS JOIN (SELECT sum(rank) AS loose FROM ranks WHERE index NOT IN (SELECT src FROM {{moves}})) l WHERE r.k < {SETTINGS.rank_steps})
+        GROUP BY index),
+    changes AS (SELECT k, sum(abs(d)) AS change FROM (SELECT k, rank - lag(rank) OVER (PARTITION BY index ORDER BY k) AS d FROM ranks) GROUP BY k),
+    last AS (SELECT coalesce(min(k), {SETTINGS.rank_steps}) AS k FROM changes WHERE change < 1e-6 * (SELECT count(*) FROM {{members}}))"""
 
 
-@query("SELECT index, round(-ln(rank), 6) AS specificity FROM ranks WHERE k = %d" % STEPS, _RANK)
+@query("SELECT index, round(-ln(rank), 6) AS specificity FROM ranks WHERE k = (SELECT k FROM last)", _RANK)
 def pagerank_specificity(spark, d):
     edges = _valid(spark, d)
     tree = graph.hierarchy(edges)
-    ranks = graph.pagerank(tree, graph.hierarchy_nodes(tree, graph.nodes(edges)), STEPS, tolerance=None)
+    ranks = graph.pagerank(tree, graph.hierarchy_nodes(tree, graph.nodes(edges)), SETTINGS.rank_steps, SETTINGS.damping)
     return rounded(graph.specificity(ranks))
 
 
 _P0 = "SELECT note, index, 1.0e0 / count(*) OVER (PARTITION BY note) AS prob FROM {starts} WHERE index IN (SELECT index FROM {nodes})"
-_WALK = f"""start AS ({_P0}), walk(k, note, index, p) AS (
+
+
+def _walk(steps: int) -> str:
+    return f"""start AS ({_P0}), walk(k, note, index, p) AS (
         SELECT 0, note, index, prob FROM start
         UNION ALL
         SELECT min(k) + 1, note, index, sum(p) FROM (
-            SELECT w.k, w.note, q.dst AS index, 0.8e0 * w.p * q.q AS p FROM walk w JOIN {{q}} q ON w.index = q.src WHERE w.k < {STEPS}
+            SELECT w.k, w.note, q.dst AS index, 0.8e0 * w.p * q.q AS p FROM walk w JOIN {{q}} q ON w.index = q.src WHERE w.k < {steps}
             UNION ALL
-            SELECT m.k, s.note, s.index, 0.2e0 * s.prob FROM start s JOIN (SELECT note, min(k) AS k FROM walk GROUP BY note) m ON s.note = m.note WHERE m.k < {STEPS})
+            SELECT m.k, s.note, s.index, 0.2e0 * s.prob FROM start s JOIN (SELECT note, min(k) AS k FROM walk GROUP BY note) m ON s.note = m.note WHERE m.k < {steps})
         GROUP BY note, index)"""
 
 
+# a note's walk ends with its first step that changes less than the tolerance
+_STOPPED = f"""{_walk(SETTINGS.walk_steps)},
+    changes AS (
+        SELECT note, k, sum(abs(p - coalesce(was, 0))) AS change
+        FROM (SELECT *, lag(p) OVER (PARTITION BY note, index ORDER BY k) AS was FROM walk) WHERE k > 0 GROUP BY 1, 2),
+    last AS (SELECT note, coalesce(min(k) FILTER (change < 1e-6), {SETTINGS.walk_steps}) AS k FROM changes GROUP BY 1),
+    walked AS (SELECT w.note, w.index, w.p FROM walk w JOIN last USING (note, k))"""
+
+
 def _even_starts(spark, d):
     known = in_spark(spark, d, "starts").join(graph.nodes(_valid(spark, d)).select("index"), "index", "left_semi")
     n = known.groupBy("note").agg((F.lit(1.0) / F.count("*")).alias("prob"))
     return known.join(n, "note")
 
 
-@query(f"SELECT note, index, round(p, 9) AS p FROM walk WHERE k = {STEPS}", _WALK)
+@query("SELECT note, index, round(p, 9) AS p FROM walked", _STOPPED)
 def rwr_fixed_k(spark, d):
+    """At most 50 steps, fewer where a note's change falls below the tolerance."""
+    q = graph.transitions(graph.weighted_edges(_valid(spark, d)))
+    return rounded(graph.walk_in_memory(q, _even_starts(spark, d), SETTINGS.walk_steps, SETTINGS.restart_rate, SETTINGS.walk_tolerance), 9)
+
+
+@query(f"SELECT note, index, round(p, 9) AS p FROM walk WHERE k = {JOIN_STEPS}", _walk(JOIN_STEPS))
+def rwr_by_joins(spark, d):
+    """The form for graphs beyond memory, its first steps."""
     q = graph.transitions(graph.weighted_edges(_valid(spark, d)))
-    return rounded(graph.walk_in_memory(q, _even_starts(spark, d), STEPS, 0.2, None), 9)
+    return rounded(graph.walk(q, _even_starts(spark, d), JOIN_STEPS, SETTINGS.restart_rate, None), 9)
 
 
 _ANCHORS = """known AS (SELECT s.note, s.index, e.embedding FROM {starts} s JOIN {nodes} n USING (index) LEFT JOIN (SELECT 'P' || CAST(vec_id AS VARCHAR) AS id, embedding FROM {embeddings}) e USING (id)),
@@ -361,13 +387,17 @@ _ANCHORS = """known AS (SELECT s.note, s.index, e.embedding FROM {starts} s JOIN
     weighed AS (SELECT note, index, coalesce((cos + 1) / 2, 1) AS "C", coalesce(ln(d.degree + 1), 1.0e0) AS "S" FROM known k LEFT JOIN cosines USING (note, index) LEFT JOIN {degree} d USING (index))"""
 
 
-@query('SELECT note, index, round("C", 6) AS "C", round("S", 6) AS "S", round("C" * "S", 6) AS "W", round("C" * "S" / sum("C" * "S") OVER (PARTITION BY note), 6) AS prob FROM weighed', _ANCHORS)
-def anchor_personalization(spark, d):
+def _anchors(spark, d):
     """Specificity stands in as ln(degree + 1)."""
     edges = _valid(spark, d)
     special = graph.degrees(graph.weighted_edges(edges)).select("index", F.log(F.col("degree") + 1).alias("specificity"))
     vectors = in_spark(spark, d, "embeddings").select(F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("node_id"), F.col("embedding").alias("vec"))
-    return rounded(graph.anchors(in_spark(spark, d, "starts"), graph.nodes(edges), vectors, special))
+    return graph.anchors(in_spark(spark, d, "starts"), graph.nodes(edges), vectors, special)
+
+
+@query('SELECT note, index, round("C", 6) AS "C", round("S", 6) AS "S", round("C" * "S", 6) AS "W", round("C" * "S" / sum("C" * "S") OVER (PARTITION BY note), 6) AS prob FROM weighed', _ANCHORS)
+def anchor_personalization(spark, d):
+    return rounded(_anchors(spark, d))
 
 
 @query("SELECT index, disease, round((rank() OVER (PARTITION BY index ORDER BY uq_pure) - 1) / CAST(count(*) OVER (PARTITION BY index) AS DOUBLE), 6) AS share_below FROM {scored}")
@@ -405,24 +435,34 @@ def mapping_rate(spark, d):
     return rounded(linking.mapping_rates(rows, rows.select("index").distinct().withColumn("total", F.lit(10))))
 
 
-_EXPANDED = f"""{_WALK}, scores AS (
-        SELECT w.note, w.index, greatest(0, w.p - 0.2e0 * coalesce(s.prob, 0)) / log10(d.degree + 10) AS score
-        FROM walk w LEFT JOIN start s USING (note, index) JOIN {{degree}} d USING (index) WHERE k = {STEPS}),
-    limits AS (SELECT note, coalesce(avg(score) FILTER (score > 0), 0) AS threshold FROM scores GROUP BY 1),
+_EXPANDED = f"""{_STOPPED}, scores AS (
+        SELECT w.note, w.index, greatest(0, w.p - 0.2e0 * coalesce(s.prob, 0)) / log10(d.degree + 10) AS score, s.index IS NOT NULL AS generated
+        FROM walked w LEFT JOIN start s USING (note, index) JOIN {{degree}} d USING (index)),
+    limits AS (SELECT note, coalesce(avg(score) FILTER (score > 0 AND generated), 0) AS threshold FROM scores GROUP BY 1),
     top AS (SELECT s.*, n.name, row_number() OVER (PARTITION BY note ORDER BY score DESC, index) AS rank FROM scores s JOIN {{nodes}} n USING (index)
-            WHERE n.type IN ('disease', 'effect/phenotype') AND NOT EXISTS (SELECT 1 FROM start g WHERE g.note = s.note AND g.index = s.index) QUALIFY rank <= 5),
+            WHERE n.type IN ('disease', 'effect/phenotype') AND NOT generated QUALIFY rank <= 5),
     names AS (SELECT note, lower(n.name) AS name FROM start s JOIN {{nodes}} n USING (index))"""
 
 
-@query("SELECT note, index, name AS disease, round(score, 9) AS score FROM top JOIN limits USING (note) WHERE score > threshold AND NOT EXISTS (SELECT 1 FROM names x WHERE x.note = top.note AND x.name = top.name) QUALIFY row_number() OVER (PARTITION BY note, name ORDER BY rank) = 1", _EXPANDED)
-def expansion_candidates(spark, d):
+def _expansion(spark, d):
+    """(scores, generated, nodes): the start nodes stand in for what was generated."""
     edges = _valid(spark, d)
-    plain = graph.weighted_edges(edges)
-    starts = _even_starts(spark, d)
-    nodes = graph.nodes(edges)
-    scores = expansion.corrected(graph.walk_in_memory(graph.transitions(plain), starts, STEPS, 0.2, None), starts, graph.degrees(plain))
+    plain, nodes, starts = graph.weighted_edges(edges), graph.nodes(edges), _even_starts(spark, d)
     made = starts.join(nodes, "index").select("note", "index", F.col("name").alias("disease"))
-    return rounded(expansion.candidates(scores, graph.targets(nodes), made, expansion.thresholds(scores), nodes), 9)
+    return expansion.scored(graph.transitions(plain), starts, graph.degrees(plain), graph.targets(nodes), made, SETTINGS), made, nodes
+
+
+@query("SELECT note, index, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM top", _EXPANDED)
+def expansion_top(spark, d):
+    """The five target nodes of greatest score that aren't generated, before threshold and names."""
+    return rounded(_expansion(spark, d)[0].where("rank IS NOT NULL").select("note", "index", "rank", "score"), 9)
+
+
+@query("SELECT note, index, name AS disease, round(score, 9) AS score FROM top JOIN limits USING (note) WHERE score > threshold AND NOT EXISTS (SELECT 1 FROM names x WHERE x.note = top.note AND x.name = top.name) QUALIFY row_number() OVER (PARTITION BY note, name ORDER BY rank) = 1", _EXPANDED)
+def expansion_candidates(spark, d):
+    scores, made, nodes = _expansion(spark, d)
+    scores = scores.checkpoint()
+    return rounded(expansion.candidates(scores, made, expansion.thresholds(scores.where("rank IS NULL")), nodes), 9)
 
 
 @query("SELECT index, disease, round(uq_pure, 6) AS tf_logits_expanded FROM {scored} WHERE uq_pure >= 0.5")
@@ -459,3 +499,171 @@ def row_range(spark, d):
 def note_entities(spark, d):
     found = in_spark(spark, d, "labels").select(F.col("doc_id").alias("index"), F.array(F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("entities"))
     return tables.with_entities(in_spark(spark, d, "documents").select(F.col("doc_id").alias("index")), found)
+
+
+# ---- what models answer, with stand-ins for the answers
+
+@query(
+    """SELECT index, arg_min(disease, (sample_id, ord, disease)) AS disease, round(count(DISTINCT sample_id) / 100.0e0, 6) AS uq
+       FROM {samples} GROUP BY index, split_part(lower(trim(disease)), ' ', 1)"""
+)
+def entailed_clusters(spark, d):
+    """Names of one first word entail one another, in one direction of the two that are asked for."""
+    names = in_spark(spark, d, "samples")
+    first = lambda c: F.split(c, " ")[0]
+    judged = sampling.name_pairs(names).withColumns({"forward": F.when(first("a") == first("b"), 0.9).otherwise(0.1), "backward": F.lit(0.1)})
+    return rounded(sampling.leader_clusters(names, sampling.entailed_pairs(judged).select("index", "a", "b")))
+
+
+_ENTRIES = "SELECT index, max(upper(item)) AS entry FROM {gains} GROUP BY 1"
+
+
+@query(
+    f"""SELECT index, disease AS original, coalesce(r.exact, entry, disease) AS aligned,
+               CASE WHEN r.exact IS NOT NULL THEN 'Exact' WHEN lower(coalesce(entry, disease)) <> lower(disease) THEN 'Aligned' ELSE 'Unmatched' END AS status
+        FROM (SELECT DISTINCT index, disease, lower(trim(disease)) AS key FROM {{scored}})
+        LEFT JOIN (SELECT index, lower(trim(item)) AS key, max(upper(item)) AS exact FROM {{gains}} GROUP BY 1, 2) r USING (index, key) LEFT JOIN ({_ENTRIES}) USING (index)"""
+)
+def aligned_by_answer(spark, d):
+    """The answer stands in as the note's last entry, quoted and in lower case."""
+    rows, spelt = in_spark(spark, d, "scored"), _spelt(spark, d)
+    said = spelt.groupBy("index").agg(F.concat(F.lit("'"), F.lower(F.max("disease")), F.lit("'")).alias("answer"))
+    answers = evaluate.distinct_items(rows).withColumnRenamed("disease", "original").join(said, "index")
+    return evaluate.aligned(rows, spelt, answers)
+
+
+@query("SELECT index, array_to_string(CASE WHEN len(tokens) > 50 THEN tokens[-50:] ELSE tokens END, ' ') AS text FROM (SELECT index, string_split(text, ' ') AS tokens FROM {notes} WHERE text IS NOT NULL)")
+def last_tokens(spark, d):
+    """The cut to a model's last tokens is the feature; blanks stand in for a tokenizer."""
+    rows = in_spark(spark, d, "notes").where("text IS NOT NULL")
+    return rows.select("index", F.array_join(T.last_tokens(F.split("text", " "), 50), " ").alias("text"))
+
+
+@query(
+    """SELECT vec_id AS index, round(-list_sum(list_transform(e, lambda x: x / s * ln(x / s + 1e-9))), 6) AS entropy
+       FROM (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS e, list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))) AS s FROM embeddings)"""
+)
+def logit_entropy(spark, d):
+    """Vectors stand in for a token's logits."""
+    rows = in_spark(spark, d, "embeddings").select(F.col("vec_id").alias("index"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    return rounded(rows.select("index", N.entropy(N.softmax(F.col("logits"))).alias("entropy")))
+
+
+@query("SELECT vec_id AS index, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS first, 64 AS size FROM embeddings")
+def normalised_vectors(spark, d):
+    rows = linking.normalised_vectors(in_spark(spark, d, "embeddings").select(F.col("vec_id").alias("index"), F.col("embedding").alias("vec")))
+    return rounded(rows.select("index", F.col("vec")[0].alias("first"), F.size("vec").alias("size")))
+
+
+_LINKS = "SELECT DISTINCT disease AS name, length(disease) % 7 AS node_index, upper(disease) AS node, 0.70037e0 + length(disease) / 100e0 AS sim FROM {scored} WHERE length(disease) % 3 <> 0"
+_DETAILS = f"""SELECT s.index, disease, is_expanded, node_index, CASE WHEN l.name IS NULL THEN disease || ' -> UNMAPPED' ELSE disease || '  -> mapped ->  ' || node || ' (Bi:' || printf('%.2f', sim) || ')' END AS detail
+    FROM {{scored}} s LEFT JOIN ({_LINKS}) l ON disease = name"""
+
+
+@query(
+    f"""SELECT index, round(count(DISTINCT node_index) / CAST(count(*) AS DOUBLE), 6) AS qwen_mapping_rate, string_agg(detail, ' | ' ORDER BY disease) AS qwen_similarities, count(DISTINCT node_index) AS num_starting_nodes,
+               round(coalesce(count(*) FILTER (is_expanded AND node_index % 2 = 0) / nullif(CAST(count(*) FILTER (is_expanded) AS DOUBLE), 0), 0), 6) AS kg_mapping_rate,
+               coalesce(string_agg(detail, ' | ' ORDER BY disease) FILTER (is_expanded AND node_index % 2 = 0), 'None') AS kg_similarities
+        FROM ({_DETAILS}) GROUP BY 1"""
+)
+def mapping_stats(spark, d):
+    """Links by the length of names; expanded names stand in for generated ones, nodes of even number for those of a fitting type."""
+    rows = in_spark(spark, d, "scored").select(F.col("index").alias("note"), F.col("disease").alias("ord"), F.col("disease").alias("name"), "is_expanded")
+    size = F.length("name")
+    links = rows.select("name").distinct().where(size % 3 != 0).select("name", (size % 7).cast("long").alias("index"), F.upper("name").alias("node"), (F.lit(0.70037) + size / 100).alias("sim"))
+    details = lambda x: linking.mapping_details(x.select("note", "ord", "name"), links)
+    valid = spark.range(0, 8, 2).select(F.col("id").alias("index"))
+    return rounded(linking.mapping_stats(rows.select(F.col("note").alias("index")), details(rows), details(rows.where("is_expanded")), valid))
+
+
+@query('SELECT note AS note_index, name AS node_name, round("C", 6) AS "C", round("S", 6) AS "S", round("C" * "S", 6) AS "W", round("C" * "S" / sum("C" * "S") OVER (PARTITION BY note), 6) AS prob FROM weighed JOIN {nodes} USING (index)', _ANCHORS)
+def walk_stats(spark, d):
+    nodes = graph.nodes(_valid(spark, d))
+    return rounded(sinks.walk_stats(_anchors(spark, d), nodes))
+
+
+# ---- sources and sinks: what is written comes back
+
+@query("SELECT index, text FROM {notes} QUALIFY row_number() OVER (ORDER BY index) > 100")
+def notes_scan(spark, d):
+    """Notes as quoted CSV with line feeds, appended in two halves and read from the 100th on by place, as a run that goes on does."""
+    rows, path = in_spark(spark, d, "notes").withColumnRenamed("text", "discharge_summary"), sinks.scratch(spark, "notes")
+    for half in (0, 1):
+        sinks.append_csv(rows.where(F.col("index") % 2 == half), path)
+    return tables.notes(spark, path, Settings(start_index=100))
+
+
+@query("SELECT doc_id AS index, CASE WHEN toxic = 1 THEN ['again', lang] ELSE [lang] END AS entities FROM documents JOIN labels USING (doc_id)")
+def entities_scan(spark, d):
+    """Entities as JSON lines; of the lines of one index the last holds, in file order."""
+    path = sinks.scratch(spark, "entities")
+    rows = in_spark(spark, d, "documents").join(in_spark(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("index"), "lang", "toxic")
+    first = rows.select("index", F.lit(0).alias("turn"), F.array("lang").alias("entities"))
+    again = rows.where("toxic = 1").select("index", F.lit(1).alias("turn"), F.array(F.lit("again"), "lang").alias("entities"))
+    sinks.append_json(first.union(again).coalesce(1).sortWithinPartitions("turn").drop("turn"), path)
+    return tables.entities(spark, path)
+
+
+@query("SELECT DISTINCT doc_id AS index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def done_scan(spark, d):
+    """What remains after an output in CSV and one in JSON lines, of which only the index is read."""
+    labels, csv, json = in_spark(spark, d, "labels").withColumnRenamed("doc_id", "index"), sinks.scratch(spark, "done"), sinks.scratch(spark, "done")
+    sinks.append_csv(labels.where("quality = 1"), csv)
+    sinks.append_json(labels.where("quality = 0"), json)
+    rows = in_spark(spark, d, "documents").select(F.col("doc_id").alias("index")).distinct()
+    return tables.remaining(tables.remaining(rows, tables.done(spark, csv)), tables.done(spark, json, "json"))
+
+
+@query("SELECT * FROM {weighted}")
+def kg_scan(spark, d):
+    """The graph as CSV in two files, written in order of ord; the last row of a pair in (file, line) order sets its weight."""
+    path = sinks.scratch(spark, "kg")
+    columns = ["x_index", "x_id", "x_type", "x_name", "y_index", "y_id", "y_type", "y_name", "display_relation"]
+    weight = graph.relation_weight()
+    rows = in_spark(spark, d, "kg").repartitionByRange(2, "ord", weight).sortWithinPartitions("ord", weight)
+    sinks.append_csv(rows.select(*columns), path)
+    return graph.weighted_edges(graph.valid_edges(tables.kg_edges(spark, path)))
+
+
+@query("SELECT index, disease, round(uq_pure, 6) AS uq_pure FROM {scored}")
+def score_scan(spark, d):
+    """A method's file, with headers in capitals and the score under one of its names."""
+    path = sinks.scratch(spark, "scores")
+    sinks.append_csv(in_spark(spark, d, "scored").select(F.col("index").alias("INDEX"), F.col("disease").alias("Disease"), F.col("uq_pure").alias("CCP_SCORE")), path)
+    return rounded(tables.scores(spark, path, "pure"))
+
+
+@query("SELECT index, disease, round(uq_pure, 6) AS score_full FROM {scored} WHERE NOT is_expanded")
+def predictions_scan(spark, d):
+    """Predictions as CSV; expanded rows go as they are read, and one method is taken."""
+    path = sinks.scratch(spark, "predictions")
+    sinks.append_csv(in_spark(spark, d, "scored"), path)
+    return rounded(tables.method_scores(tables.predictions(spark, path, Settings(ignore_expansion=True)), "uq_pure", "full"))
+
+
+@query("SELECT index, method, item, round(score, 6) AS score FROM {long}")
+def method_table(spark, d):
+    """One table with a folder for each method."""
+    path = sinks.scratch(spark, "methods")
+    sinks.by_method(_long(spark, d), path)
+    return rounded(spark.read.parquet(path).select("index", "method", "item", "score"))
+
+
+@query("SELECT l_suppkey AS index, 'mimic' AS dataset, 'llama' AS model, 'full' AS mode, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'mimic', 'llama', 'sliced', count(*) FROM lineitem GROUP BY 1")
+def output_table(spark, d):
+    """Outputs of two runs in one table, in folders by data set, model and mode; an earlier one was reset."""
+    path, rows = sinks.scratch(spark, "outputs"), in_spark(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("index")).agg(F.count("*").alias("n"))
+    for mode in ("full", "sliced"):
+        setting = Settings(mode=mode)
+        sinks.append_table(rows, path, setting, "counts")
+        sinks.reset(rows, f"{path}/{setting.output('counts')}")
+        sinks.append_table(rows, path, setting, "counts")
+    return spark.read.parquet(f"{path}/counts").select("index", "dataset", "model", "mode", "n")
+
+
+@query("SELECT method, count(*) AS n, round(avg(mrr), 6) AS mrr FROM {metrics} GROUP BY 1")
+def summary_scan(spark, d):
+    """The summary's one CSV file."""
+    path = sinks.scratch(spark, "summary")
+    sinks.summary_csv(evaluate.summary(evaluate.note_metrics(_long(spark, d), _gains(spark, d))), path)
+    return rounded(tables.csv(spark, path, "method string, n long, mrr double"))

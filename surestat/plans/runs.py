@@ -4,6 +4,7 @@ come from an injected provider."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,23 +13,26 @@ from .. import models
 from ..config import Settings
 from ..functions import text as T
 from ..operators import evaluate, expansion, fusion, graph, linking, sampling, tokens
+from ..sources import sinks
 
 
-def prepared(notes: DataFrame, settings: Settings, extraction: bool = False) -> DataFrame:
+def prepared(notes: DataFrame, settings: Settings, factory: Callable, extraction: bool = False) -> DataFrame:
+    """(index, text): notes without the sections that a run leaves out, of which the last tokens that fit are kept."""
     rows = notes if settings.parity.missing_text_is_nan else notes.where("text IS NOT NULL")
-    return rows.select("index", T.prepared_note(F.col("text"), settings, extraction).alias("text"))
+    rows = rows.select("index", T.prepared_note(F.col("text"), settings, extraction).alias("text"))
+    return models.shortened(rows, settings.extraction_tokens if extraction else settings.note_tokens, factory)
 
 
 def extract_entities(notes: DataFrame, settings: Settings, factory: Callable = models.Stub) -> DataFrame:
     """(index, entities)."""
-    prompts = prepared(notes, settings, True).select("index", T.extraction_prompt(F.col("text")).alias("prompt"))
+    prompts = prepared(notes, settings, factory, True).select("index", T.extraction_prompt(F.col("text")).alias("prompt"))
     return models.extracted(prompts, factory).select("index", T.json_entities(F.col("reply")).alias("entities"))
 
 
 def reference_scores(notes: DataFrame, settings: Settings, factory: Callable = models.Stub) -> DataFrame:
     """(index, disease, uq), and a row of nulls for a note without any."""
-    prompts = prepared(notes, settings).select("index", T.diagnosis_prompt(F.col("text")).alias("prompt"))
-    texts = models.sampled(prompts, settings.num_samples, factory=factory)
+    prompts = prepared(notes, settings, factory).select("index", T.diagnosis_prompt(F.col("text")).alias("prompt"))
+    texts = models.sampled(prompts, settings.num_samples, batch=settings.batch_size, factory=factory)
     names = T.parsed_lists(texts, "text", "index", "sample_id").withColumn("ord", F.col("ord").cast("long")).checkpoint()
     judged = models.entailment(sampling.name_pairs(names), factory=factory)
     pairs = sampling.entailed_pairs(judged, settings.entailment_mode).select("index", "a", "b")
@@ -36,8 +40,16 @@ def reference_scores(notes: DataFrame, settings: Settings, factory: Callable = m
     return expansion.with_placeholders(notes, scores, {})
 
 
-def combined_scores(notes: DataFrame, entities: DataFrame, edges: DataFrame, embeddings: DataFrame, settings: Settings, factory: Callable = models.Stub) -> DataFrame:
-    """All fourteen columns of predictions for every note; a note without any gets a row of zeros."""
+class Combined(NamedTuple):
+    """predictions: all fourteen columns for every note, a row of zeros for a note without any; mapping: a row of statistics for each note;
+    walks: a row for each start node."""
+
+    predictions: DataFrame
+    mapping: DataFrame
+    walks: DataFrame
+
+
+def combined_scores(notes: DataFrame, entities: DataFrame, edges: DataFrame, embeddings: DataFrame, settings: Settings, factory: Callable = models.Stub) -> Combined:
     good = graph.valid_edges(edges)
     nodes = graph.nodes(good).checkpoint()
     plain = graph.weighted_edges(good).checkpoint()
@@ -47,23 +59,26 @@ def combined_scores(notes: DataFrame, entities: DataFrame, edges: DataFrame, emb
     vectors = linking.embedded(nodes.select("index", "name"), models.provider(factory)).select("index", "vec").checkpoint()
 
     def link(names: DataFrame) -> DataFrame:
-        """(entity, index) of distinct names."""
+        """(name, index, node, sim) of distinct names (entity): the graph node that each is linked to, with its name."""
         near = linking.nearest(linking.embedded(names.select(F.col("entity"), F.col("entity").alias("name")), models.provider(factory)).select("entity", "vec"), vectors, settings.link_k)
         near = near.join(nodes.select("index", "name"), "index").checkpoint()
         judged = models.entailment(near, "entity", "name", factory)
-        return linking.linked(near, sampling.entailed_pairs(judged, settings.entailment_mode), settings.link_threshold)
+        found = linking.linked(near, sampling.entailed_pairs(judged, settings.entailment_mode), settings.link_threshold)
+        return found.join(nodes.select("index", F.col("name").alias("node")), "index").select(F.col("entity").alias("name"), "index", "node", "sim")
 
-    said = entities.select("index", F.explode("entities").alias("entity"))
-    starts = said.join(link(said.select("entity").distinct()).withColumnRenamed("index", "node"), "entity").select(F.col("index").alias("note"), F.col("node").alias("index")).distinct()
-    anchors = graph.anchors(starts, nodes, embeddings, special).checkpoint()
-    walks = graph.walk_in_memory(q, anchors, settings.walk_steps, settings.restart_rate, settings.walk_tolerance)
-    scores = expansion.corrected(walks, anchors, graph.degrees(plain), settings.restart_rate).checkpoint()
+    said = entities.select(F.col("index").alias("note"), F.posexplode("entities").alias("ord", "name"))
+    context = linking.mapping_details(said, link(said.select(F.col("name").alias("entity")).distinct())).checkpoint()
+    anchors = graph.anchors(context.where("index IS NOT NULL").select("note", "index"), nodes, embeddings, special).checkpoint()
 
-    prompts = prepared(notes, settings).select("index", T.diagnosis_prompt(F.col("text")).alias("prompt"))
-    lists = tokens.token_lists(models.generated(prompts, factory=factory), settings.parity.strip_leading_t).checkpoint()
-    linked = lists.join(link(lists.select(F.col("disease").alias("entity")).distinct()).select(F.col("entity").alias("disease"), F.col("index").alias("node")), "disease", "left")
-    linked = linked.join(nodes.select(F.col("index").alias("node"), "type"), "node", "left")
-    generated = linked.select(F.col("index").alias("note"), "ord", "disease", F.when(expansion.right_type(F.col("type")), F.col("node")).alias("index")).checkpoint()
+    prompts = prepared(notes, settings, factory).select("index", T.diagnosis_prompt(F.col("text")).alias("prompt"))
+    lists = tokens.token_lists(models.generated(prompts, factory=factory), settings.parity.strip_leading_t).select(F.col("index").alias("note"), "ord", F.col("disease").alias("name")).checkpoint()
+    linked = linking.mapping_details(lists, link(lists.select(F.col("name").alias("entity")).distinct())).checkpoint()
+    valid = nodes.where(expansion.right_type(F.col("type"))).select("index")
+    mapping = linking.mapping_stats(notes, context, linked, valid)
+    generated = linked.join(valid.withColumn("good", F.lit(True)), "index", "left").select("note", "ord", F.col("name").alias("disease"), F.when(F.col("good"), F.col("index")).alias("index")).checkpoint()
+
+    every = expansion.scored(q, anchors, graph.degrees(plain), graph.targets(nodes), generated, settings).checkpoint()
+    scores = every.where("rank IS NULL").drop("rank")
 
     force = lambda rows, prefix: tokens.confidence(models.forced(rows.groupBy("index").agg(F.collect_list("disease").alias("diseases")).join(prompts, "index"), prefix, factory), "index", "disease")
     own = force(generated.select(F.col("note").alias("index"), "disease"), "\n-")
@@ -78,11 +93,18 @@ def combined_scores(notes: DataFrame, entities: DataFrame, edges: DataFrame, emb
     rows = rows.join(own.join(ccp, ["index", "disease"], "left").withColumnRenamed("index", "note"), ["note", "disease"]).fillna(0.0, ["uq_ccp"])
 
     limits = expansion.thresholds(mapped)
-    more = expansion.candidates(scores, graph.targets(nodes), generated, limits, nodes, settings.top_k_kg)
+    more = expansion.candidates(every, generated, limits, nodes)
     again = force(more.select(F.col("note").alias("index"), "disease"), "\n- ").select(F.col("index").alias("note"), "disease", F.col("uq_pure").alias("tf_logits_expanded"), F.col("uq_min_logprob").alias("tf_min_logprob_expanded"))
-    expanded = more.join(scores.select("note", "index", "raw"), ["note", "index"]).select("note", "disease", "raw").join(again, ["note", "disease"])
+    expanded = more.join(every.where("rank IS NOT NULL").select("note", "index", "raw"), ["note", "index"]).select("note", "disease", "raw").join(again, ["note", "disease"])
     out = expansion.predictions(rows, expanded, bounds, settings)
-    return expansion.with_placeholders(notes, out, {c: 0.0 for c in out.columns if c not in ("index", "disease", "is_expanded")} | {"is_expanded": False})
+    out = expansion.with_placeholders(notes, out, {c: 0.0 for c in out.columns if c not in ("index", "disease", "is_expanded")} | {"is_expanded": False})
+    return Combined(out, mapping, sinks.walk_stats(anchors, nodes))
+
+
+def stored(found: Combined, root: str, settings: Settings) -> None:
+    """Appends a run's three outputs to their tables; walk statistics only where there are rows, as appending does."""
+    for kind, rows in zip(("predictions", "mapping_stats", "walk_stats"), found, strict=True):
+        sinks.append_table(rows, root, settings, kind)
 
 
 def evaluated(predictions: DataFrame, reference: DataFrame, settings: Settings, factory: Callable | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

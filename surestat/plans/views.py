@@ -35,14 +35,14 @@ VIEWS = {
         FROM {documents}""",
     "kg": """
         SELECT CAST(p.p_partkey AS DOUBLE) AS x_index, 'P' || CAST(p.p_partkey AS VARCHAR(12)) AS x_id,
-               CASE WHEN p.p_size % 2 = 0 THEN 'disease' ELSE 'effect/phenotype' END AS x_type, p.p_name AS x_name,
+               CASE WHEN p.p_size % 2 = 0 THEN 'disease' ELSE 'effect/phenotype' END AS x_type, p.p_name || ' ' || CAST(p.p_partkey % 50 AS VARCHAR(9)) AS x_name,
                CAST(1000000 + l.l_suppkey AS DOUBLE) AS y_index, 'S' || CAST(l.l_suppkey AS VARCHAR(12)) AS y_id, 'drug' AS y_type, s.s_name AS y_name,
                CASE l.l_returnflag WHEN 'A' THEN 'Phenotype Present' WHEN 'R' THEN 'indication' ELSE 'associated with' END AS display_relation,
                l.l_orderkey * 10 + l.l_linenumber AS ord
         FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
         UNION ALL
-        SELECT CAST(a.p_partkey AS DOUBLE), 'P' || CAST(a.p_partkey AS VARCHAR(12)), CASE WHEN a.p_size % 2 = 0 THEN 'disease' ELSE 'effect/phenotype' END, a.p_name,
-               CAST(b.p_partkey AS DOUBLE), 'P' || CAST(b.p_partkey AS VARCHAR(12)), CASE WHEN b.p_size % 2 = 0 THEN 'disease' ELSE 'effect/phenotype' END, b.p_name,
+        SELECT CAST(a.p_partkey AS DOUBLE), 'P' || CAST(a.p_partkey AS VARCHAR(12)), CASE WHEN a.p_size % 2 = 0 THEN 'disease' ELSE 'effect/phenotype' END, a.p_name || ' ' || CAST(a.p_partkey % 50 AS VARCHAR(9)),
+               CAST(b.p_partkey AS DOUBLE), 'P' || CAST(b.p_partkey AS VARCHAR(12)), CASE WHEN b.p_size % 2 = 0 THEN 'disease' ELSE 'effect/phenotype' END, b.p_name || ' ' || CAST(b.p_partkey % 50 AS VARCHAR(9)),
                'parent-child', -b.p_partkey
         FROM {part} b JOIN {part} a ON a.p_partkey = CAST(floor(b.p_partkey / 10.0e0) AS BIGINT) WHERE b.p_partkey > 0""",
     "starts": """

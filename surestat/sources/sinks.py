@@ -3,19 +3,36 @@ a run resumable, and overwriting resets it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = made.get() if made.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp()
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
 def append_csv(rows: DataFrame, path: str) -> None:
-    """Every part has its header, so that parts of several runs can be read together."""
-    rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    """Every part has its header, so that parts of several runs can be read together; blanks at a value's ends stay."""
+    rows.write.mode("append").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def append_table(rows: DataFrame, root: str, settings: Settings, kind: str) -> None:

@@ -27,13 +27,14 @@ def _loaded(read, path: str) -> DataFrame:
         raise
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted multi-line CSV with a header; columns by the header's names whatever their order or case."""
+def csv(spark: SparkSession, path: str, schema: str, place: str | None = None) -> DataFrame:
+    """Quoted multi-line CSV with a header; columns by the header's names whatever their order or case. place: a column of that name
+    is added that orders the rows by file and by line (a file is read by one task, so store large ones as Parquet once)."""
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     raw = _loaded(read.csv, path)
     have = {c.lower(): c for c in raw.columns}
     parts = [x.strip().split(" ", 1) for x in schema.split(",")]
-    return raw.select(*((F.expr(f"try_cast(`{have[n.lower()]}` AS {t})") if n.lower() in have else F.lit(None).cast(t)).alias(n) for n, t in parts))
+    return raw.select(*((F.expr(f"try_cast(`{have[n.lower()]}` AS {t})") if n.lower() in have else F.lit(None).cast(t)).alias(n) for n, t in parts), *([F.struct("_metadata.file_path", F.monotonically_increasing_id().alias("line")).alias(place)] if place else []))
 
 
 def notes(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
@@ -49,7 +50,7 @@ def in_range(rows: DataFrame, start: int = 0, end: int | None = None, order: str
     if not start and end is None:
         return rows
     dealt = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.persist()
+    dealt = dealt.checkpoint()
     sizes = dict(dealt.groupBy("_part").count().collect())  # a row a partition
     before, total = {}, 0
     for part in sorted(sizes):
@@ -89,8 +90,8 @@ def remaining(rows: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def kg_edges(spark: SparkSession, path: str) -> DataFrame:
-    """The graph's rows with ord, the row's place in the file."""
-    return csv(spark, path, schemas.KG_EDGES).withColumn("ord", F.monotonically_increasing_id())
+    """The graph's rows with ord, the row's place: its file's path, then its line."""
+    return csv(spark, path, schemas.KG_EDGES, place="ord")
 
 
 def kge(spark: SparkSession, matrix_path: str, map_path: str, rows_at_once: int = 10_000) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,12 +167,82 @@ def test_pagerank_sums_to_one(spark):
     assert math.isclose(sum(ranks.values()), 1.0) and max(ranks, key=ranks.get) == 1
 
 
+def test_pagerank_stops_where_the_change_is_small(spark):
+    tree = spark.createDataFrame([(i, i // 3) for i in range(3, 60)], "src long, dst long")
+    members = spark.createDataFrame([(i,) for i in range(1, 62)], "index long")
+    get = lambda *a, **b: {r["index"]: r["rank"] for r in graph.pagerank(tree, members, *a, **b).collect()}
+    src, dst, n = np.array([i - 1 for i in range(3, 60)]), np.array([i // 3 - 1 for i in range(3, 60)]), 61
+    loose = np.setdiff1d(np.arange(n), src)
+    x, k = np.full(n, 1 / n), 0
+    for k in range(1, 101):
+        new = 0.15 / n + 0.85 * (np.bincount(dst, x[src], n) + x[loose].sum() / n)
+        change, x = np.abs(new - x).sum(), new
+        if change < n * 1e-6:
+            break
+    assert 3 < k < 100
+    got = get(100)
+    assert all(math.isclose(got[i + 1], x[i], rel_tol=1e-12) for i in range(n))
+
+
+def random_graph(spark, seed, nodes=40):
+    pick = np.random.default_rng(seed)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in pick.integers(0, nodes, (90, 2))}
+    edges = spark.createDataFrame([(a * 10, b * 10, float(pick.choice([1, 3, 5]))) for a, b in sorted(pairs)], "a long, b long, w double").persist()
+    starts = []
+    for note in range(9):
+        own = pick.choice(nodes + 5, pick.integers(1, 6), replace=False)
+        starts += [(note, int(i) * 10, 1 / len(own)) for i in own]  # some aren't in the graph
+    return edges, spark.createDataFrame(starts, "note long, index long, prob double").persist()
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.05, 0.1])
+def test_both_forms_of_the_walk_agree_and_stop_note_by_note(spark, monkeypatch, tolerance):
+    edges, starts = random_graph(spark, 1)
+    q = graph.transitions(edges)
+    monkeypatch.setattr(graph, "NOTES", 4)
+    monkeypatch.setattr(graph, "STEP_BYTES", 256)
+    memory = {(r.note, r["index"]): r.p for r in graph.walk_in_memory(q, starts, 9, 0.2, tolerance).collect()}
+    joins = {(r.note, r["index"]): r.p for r in graph.walk_in_memory(q, starts, 9, 0.2, tolerance, n_edges=10**12).collect()}
+    assert memory.keys() == joins.keys() and all(math.isclose(memory[x], joins[x], rel_tol=1e-9) for x in memory)
+    dense = np.zeros((45, 45))
+    for r in q.collect():
+        dense[r.src // 10, r.dst // 10] = r.q
+    taken = set()
+    for note in range(9):
+        p0 = np.zeros(45)
+        for r in starts.where(F.col("note") == note).collect():
+            p0[r["index"] // 10] += r.prob
+        x = p0
+        for k in range(1, 10):
+            new = 0.8 * (x @ dense + x[dense.sum(1) == 0].sum() * p0) + 0.2 * p0
+            change, x = np.abs(new - x).sum(), new
+            if tolerance is not None and change < tolerance:
+                break
+        taken.add(k)
+        assert all(math.isclose(memory.get((note, i * 10), 0.0), x[i], rel_tol=1e-9, abs_tol=1e-15) for i in range(45))
+    assert len(taken) > 1 or tolerance is None
+
+
+def test_scores_of_blocks_equal_those_by_joins(spark, monkeypatch):
+    edges, starts = random_graph(spark, 2)
+    monkeypatch.setattr(graph, "NOTES", 4)
+    q, degrees = graph.transitions(edges), graph.degrees(edges)
+    targets = spark.range(0, 400, 20).select(F.col("id").alias("index"))
+    made = starts.where("index % 3 = 0").select("note", "index").union(spark.createDataFrame([(0, None), (0, 10), (99, 20)], "note long, index long"))
+    settings = Settings(walk_steps=7, top_k_kg=3)
+    get = lambda n: {(r.note, r["index"]): (r["rank"], round(r.raw, 12), round(r.score, 12)) for r in expansion.scored(q, starts, degrees, targets, made, settings, n).collect()}
+    memory, joins = get(None), get(10**12)
+    assert memory == joins and any(r[0] is None for r in memory.values()) and {r[0] for r in memory.values()} == {None, 1, 2, 3}
+
+
 def test_expansion_cuts_before_it_filters(spark):
-    scores = spark.createDataFrame([(1, i, 0.0, s) for i, s in ((1, 0.9), (2, 0.8), (3, 0.7), (4, 0.6), (5, 0.05))], "note long, index long, raw double, score double")
+    """Of targets 1 to 5, 1 is generated; 2, 3 and 4 are the cut to three, of which the threshold and names leave one."""
+    scores = spark.createDataFrame([(1, 1, 0.0, 0.65, None), (1, 2, 0.0, 0.8, 1), (1, 3, 0.0, 0.7, 2), (1, 4, 0.0, 0.66, 3)], "note long, index long, raw double, score double, rank int")
     nodes = spark.createDataFrame([(1, "flu"), (2, "gout (x)"), (3, "Gout"), (4, "ok"), (5, "low")], "index long, name string")
     made = spark.createDataFrame([(1, 1, "influenza"), (1, None, "ok")], "note long, index long, disease string")
-    limits = expansion.thresholds(scores)
-    got = expansion.candidates(scores, nodes, made, limits, nodes, 3).collect()
+    limits = expansion.thresholds(scores.where("rank IS NULL"))
+    assert [r.threshold for r in limits.collect()] == [0.65]
+    got = expansion.candidates(scores, made, limits, nodes).collect()
     assert [(r["index"], r.disease) for r in got] == [(2, "gout")]
 
 
@@ -221,7 +292,7 @@ def test_summary_of_one_note_has_no_deviation(spark):
 
 # ---- the three runs, with the stub
 
-def test_runs_end_to_end(spark):
+def test_runs_end_to_end(spark, tmp_path):
     notes = spark.createDataFrame([(i, f"HPI: note {i}\nPMH: x\nAllergies: none" if i < 4 else None) for i in range(1, 5)], "index long, text string")
     setting = Settings(num_samples=5)
     names = models.Stub.names
@@ -234,7 +305,14 @@ def test_runs_end_to_end(spark):
     entities = runs.extract_entities(notes, setting)
     reference = runs.reference_scores(notes, setting).checkpoint()
     assert {r["index"] for r in reference.collect()} == {1, 2, 3, 4} and reference.where("index = 4 AND disease IS NULL").count() == 1
-    scored = runs.combined_scores(notes, entities, edges, vectors, setting).checkpoint()
+    found = runs.combined_scores(notes, entities, edges, vectors, setting)
+    runs.stored(found, str(tmp_path), setting)
+    scored = spark.read.parquet(f"{tmp_path}/{setting.output('predictions')}")
+    mapping = {r["index"]: r for r in spark.read.parquet(f"{tmp_path}/{setting.output('mapping_stats')}").collect()}
+    assert mapping.keys() == {1, 2, 3, 4} and f"index {mapping[4].num_starting_nodes}" == "index 0" and mapping[4].qwen_similarities == "None"
+    assert all(r.num_starting_nodes == 1 and " -> mapped -> " in r.qwen_similarities and "(Bi:1.00)" in r.qwen_similarities for i, r in mapping.items() if i < 4)
+    walks = spark.read.parquet(f"{tmp_path}/{setting.output('walk_stats')}").collect()
+    assert {r.note_index for r in walks} == {1, 2, 3} and all(math.isclose(r.prob, 1.0) for r in walks)
     assert len(scored.columns) == 14 and scored.where("index = 4").count() == 1 and scored.where("NOT is_expanded").count() >= 4
     metrics, log, overlap = runs.evaluated(scored, reference, setting, models.Stub)
     assert metrics.where("method = 'uq_pure'").count() >= 1 and overlap.count() >= 1 and log.where("status = 'Exact'").count() == 0
