@@ -81,13 +81,23 @@ def targets(node_table: DataFrame) -> DataFrame:
     return node_table.where(F.col("type").isin(TARGET_TYPES))
 
 
-def pagerank(tree: DataFrame, members: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
+def pagerank(tree: DataFrame, members: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, n_edges: int | None = None) -> DataFrame:
     """(index, rank). Power iteration; mass of nodes without an edge out spreads evenly; stops early when the L1 change is below
-    nodes x tolerance (None: never). Each step's ranks are checkpointed, so plans don't grow; the change and the loose mass
-    come to the driver."""
+    nodes x tolerance (None: never). It is a walk that starts again at any member alike, from memory where the tree and its
+    members fit, else by joins."""
     n = members.count()
     if not n:
         return members.withColumn("rank", F.lit(0.0))
+    if not fits_in_memory((tree.count() if n_edges is None else n_edges) + 2 * n):
+        return pagerank_by_joins(tree, members, n, steps, damping, tolerance)
+    q = tree.join(tree.groupBy("src").agg((1 / F.count("*")).alias("q")), "src")
+    start = members.select(F.lit(0).alias("note"), "index", F.lit(1.0 / n).alias("prob"))
+    ranks = walk_blocks(start, shared_moves(q), reached, WALKED.format("int"), steps, 1 - damping, None if tolerance is None else n * tolerance)
+    return ranks.select("index", F.col("p").alias("rank"))
+
+
+def pagerank_by_joins(tree: DataFrame, members: DataFrame, n: int, steps: int, damping: float, tolerance: float | None) -> DataFrame:
+    """As pagerank(). Each step's ranks are checkpointed, so plans don't grow; the change and the loose mass come to the driver."""
     out = tree.groupBy("src").agg(F.count("*").alias("out"))
     moves = tree.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("q")).persist()
     rank = members.join(out.select(F.col("src").alias("index"), F.lit(False).alias("dangling")), "index", "left")
@@ -242,7 +252,10 @@ def walk_blocks(starts: DataFrame, moves: Callable[[], Moves], finish: Callable,
             found.append(finish(own, some, every, matrix.walked(every, p0, steps, restart, tolerance)))
         return pd.concat(found)
 
-    return starts.groupBy(F.pmod(F.xxhash64("note"), F.lit(blocks)).alias("block")).applyInPandas(run, schema)
+    # dealt by a number of its own: rows are few, and the work isn't in proportion to their bytes
+    tasks = min(blocks, 4 * starts.sparkSession.sparkContext.defaultParallelism)
+    dealt = starts.withColumn("block", F.pmod(F.xxhash64("note"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
+    return dealt.groupBy("block").applyInPandas(run, schema)
 
 
 def places(every: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -252,17 +265,22 @@ def places(every: np.ndarray, index: np.ndarray) -> np.ndarray:
     return np.where(every[order[at]] == index, order[at], -1) if len(every) else at - 1
 
 
+WALKED = "note {}, index long, p double"
+
+
+def reached(rows: pd.DataFrame, notes: np.ndarray, every: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+    """Every node that a note reaches."""
+    column, node = np.nonzero(p.T)
+    return pd.DataFrame({"note": notes[column], "index": every[node], "p": p[node, column]})
+
+
 def walk_in_memory(q: DataFrame, start: DataFrame, steps: int = 50, restart: float = 0.2, tolerance: float | None = 1e-6, n_edges: int | None = None) -> DataFrame:
     """As walk(), blocks of notes at a time over a broadcast matrix. A graph whose arrays pass MEMORY_BYTES goes by joins,
     with the same rule. Puts out every node that a note reaches; expansion.scored() keeps what a run needs."""
     if not fits_in_memory(q.count() if n_edges is None else n_edges):
         return walk(q, start, steps, restart, tolerance)
 
-    def finish(rows: pd.DataFrame, notes: np.ndarray, every: np.ndarray, p: np.ndarray) -> pd.DataFrame:
-        column, node = np.nonzero(p.T)
-        return pd.DataFrame({"note": notes[column], "index": every[node], "p": p[node, column]})
-
-    return walk_blocks(start, shared_moves(q), finish, f"note {dict(start.dtypes)['note']}, index long, p double", steps, restart, tolerance)
+    return walk_blocks(start, shared_moves(q), reached, WALKED.format(dict(start.dtypes)["note"]), steps, restart, tolerance)
 
 
 def share_below(scores: DataFrame, group: str, score: str) -> DataFrame:
