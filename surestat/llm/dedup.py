@@ -39,7 +39,7 @@ POSITIONS, BANDS = 160, 32
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
 #: Bytes of words and hashes that a worker remembers.
-REMEMBERED = 100_000_000
+REMEMBERED = 64_000_000
 #: Buckets of so few members are compared pair by pair, others in blocks of about BLOCK_BYTES.
 FEW, BLOCK_BYTES = 8, 4_000_000
 #: Elements whose permutations are held at once.
@@ -213,6 +213,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_batch(near, make, "a long, b long")
 
 
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """verified(), stored, so that the next step's workers don't stand beside these."""
+    return written(verified(pairs, sets, percent), "verified")
+
+
 def within_reach(n: Column, o: Column, other_n: Column, percent: int) -> Column:
     """Whether a set of n shingles, o of which others have too, can be similar enough to a set of other_n: with c in common the similarity
     is c / (n + other_n - c), and c is at most o."""
@@ -348,7 +353,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
 
     own = shared.select("bucket", F.struct("node", "n").alias("own"), "low", "high")
     tried = pairs(own.select(*ends_of("low", "own")).union(own.select(*ends_of("own", "high"))), None, "pairs")
-    found = written(grouped(verified(tried, sets, percent)), "groups")
+    found = written(grouped(links_of(tried, sets, percent)), "groups")
 
     def placed(members: DataFrame) -> DataFrame:
         """Members with their groups c, of buckets that hold several groups."""
@@ -370,14 +375,15 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     hub = F.min_by(F.struct("node", "n", "c"), F.struct((F.col("n") - F.col("o")) / F.col("n"), F.xxhash64("node", "bucket"))).alias("hub")
     asked = left.join(left.groupBy("bucket").agg(hub), "bucket").where("c <> hub.c").select("hub", F.struct("node", "n").alias("own")).select(*ends_of("hub", "own"))
     asked = pairs(asked, tried, "hub-pairs")
-    found, tried = joined(verified(asked, sets, percent)), tried.union(asked)
+    found, tried = joined(links_of(asked, sets, percent)), tried.union(asked)
 
     left = written(placed(able), "left")
     few = left.where(F.col("members") <= FEW)
     x, y = (few.select("bucket", F.struct("node", "n", "o", "c").alias(s)) for s in ("x", "y"))
     reach = within_reach(F.col("x.n"), F.least("x.o", "y.o"), F.col("y.n"), percent)
     asked = pairs(x.join(y, "bucket").where("x.node < y.node AND x.c <> y.c").where(reach).select(*ends_of("x", "y")), tried, "few-pairs")
-    found = joined(verified(asked, sets, percent).union(compared_in_blocks(left.where(F.col("members") > FEW), sets, percent)))
+    in_blocks = written(compared_in_blocks(left.where(F.col("members") > FEW), sets, percent), "verified")
+    found = joined(links_of(asked, sets, percent).union(in_blocks))
 
     own = classes.select("digest", "node", F.struct("no", "doc", "mark").alias("row"))
     in_groups = own.join(found.select(F.col("doc").alias("node"), "component"), "node", "left").select("digest", "row", F.coalesce("component", "node").alias("component"))

@@ -31,7 +31,7 @@ WEIGHTS, LEAST_FEATURES = 1 << 23, 1 << 12
 TRAIN_DOCS, TRAIN_TOTAL, LEAST_DOCS, TRAIN_CHARS = 150, 9_600, 8, 20_000
 EPOCHS, PARTS, RATE, DECAY = 4, 5, 0.5, 1e-4
 #: Bytes of words and emissions that a worker remembers from batch to batch.
-REMEMBERED = 100_000_000
+REMEMBERED = 64_000_000
 CHUNK = 128
 UNDETERMINED = "und"
 _U = np.uint64

@@ -157,6 +157,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = B
         return block_search(a, b, k)
 
     keys = ["dims", "qb", "cb"]
+    # dealt by a number of its own: the work isn't in proportion to the bytes
+    tasks = min(n_blocks * q_blocks, 4 * queries.sparkSession.sparkContext.defaultParallelism)
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     best = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
