@@ -426,5 +426,22 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT, key: str =
     return single.unionByName(once.select("__row.*"))
 
 
+#: All pairs that share a shingle, and all that they reach: for small tables with an id a row.
+ORACLE = """
+    WITH RECURSIVE
+    words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+    shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    near AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+    least AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+    SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+    FROM sets LEFT JOIN least USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), k=2)

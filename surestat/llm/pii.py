@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,23 +108,34 @@ def core(text: str, begin: int, end: int) -> tuple[int, int]:
 
 
 class Run:
-    """A run of neighbouring trigger tokens: its candidate segments' spans and features."""
+    """A run of neighbouring trigger tokens. Its candidate segments are made as they are asked for, so a long run's memory is its tokens'."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]], before: str) -> None:
-        self.n = len(tokens)
-        self.segments: list[tuple[int, int, int, int, tuple[str, ...]]] = []
-        for i in range(self.n):
-            said = f"{before} {text[tokens[max(0, i - 3)][0] : tokens[i][0]]}"[-40:]
-            for j in range(i + 1, min(self.n, i + LONGEST) + 1):
-                begin, end = core(text, tokens[i][0], tokens[i][1])[0], core(text, *tokens[j - 1])[1]
-                if j - i > 1 and text[tokens[i][0]] == "(":
-                    begin = tokens[i][0]
-                if begin < end:
-                    named = bool(SECRET_NAMES.search(said) or SECRET_NAMES.search(text[tokens[i][0] : begin]))
-                    features = span_features(text[begin:end], j - i, named)
-                    if j - i == 1 and not _TRIGGER.search(text, *tokens[i]):
-                        features += ("word assigned" if ASSIGNED.search(said) else "word",)
-                    self.segments.append((i, j, begin, end, features))
+        self.text, self.tokens, self.before, self.n = text, tokens, before, len(tokens)
+        self._starts: dict[int, tuple[int, int, bool, bool, str]] = {}
+
+    def _start(self, i: int) -> tuple[int, int, bool, bool, str]:
+        """Where a segment from token i begins, alone and with others after it, whether it is named, a plain word, and what is said before it."""
+        if i not in self._starts:
+            text, (at, end) = self.text, self.tokens[i]
+            said = f"{self.before} {text[self.tokens[max(0, i - 3)][0] : at]}"[-40:]
+            begin = core(text, at, end)[0]
+            named = bool(SECRET_NAMES.search(said) or SECRET_NAMES.search(text[at:begin]))
+            self._starts.pop(i - 2 * LONGEST, None)
+            self._starts[i] = begin, at if text[at] == "(" else begin, named, not _TRIGGER.search(text, at, end), said
+        return self._starts[i]
+
+    def ending(self, j: int) -> Iterator[tuple[int, int, int, int, tuple[str, ...]]]:
+        """The segments (i, j, begin, end, features) of tokens i up to j."""
+        end = core(self.text, *self.tokens[j - 1])[1]
+        for i in range(max(0, j - LONGEST), j):
+            alone, joined, named, word, said = self._start(i)
+            begin = joined if j - i > 1 else alone
+            if begin < end:
+                features = span_features(self.text[begin:end], j - i, named)
+                if j - i == 1 and word:
+                    features += ("word assigned" if ASSIGNED.search(said) else "word",)
+                yield i, j, begin, end, features
 
 
 def span_features(span: str, tokens: int, named: bool) -> tuple[str, ...]:
@@ -173,48 +185,43 @@ class Model:
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray) -> None:
         self.weights, self.moves = weights, moves
 
-    def scores(self, run: Run) -> list[np.ndarray]:
+    def score(self, features: tuple[str, ...]) -> np.ndarray:
         zero = np.zeros(len(KINDS))
-        return [sum((self.weights.get(f, zero) for f in s[4]), zero) for s in run.segments]
+        return sum((self.weights.get(f, zero) for f in features), zero)
 
-    def ahead(self, run: Run, scores: list[np.ndarray], best: bool):
-        """Forward sums (or maxima) in logs: at[j][kind] over all ways to cut the first j tokens, the last segment being of
-        that kind."""
+    def ahead(self, n: int, ending: Callable[[int], Iterable[tuple]], best: bool):
+        """Forward sums (or maxima) in logs: at[j][kind] over all ways to cut the first j of n tokens, the last segment being of
+        that kind. ending(j) gives the segments that end there, (i, scores, whatever back is to hold)."""
         k = len(KINDS)
-        at = np.full((run.n + 1, k + 1), -np.inf)
+        at = np.full((n + 1, k + 1), -np.inf)
         at[0, k] = 0
-        back: dict[tuple[int, int], tuple[int, int, int]] = {}
-        ending: dict[int, list[int]] = {}
-        for x, s in enumerate(run.segments):
-            ending.setdefault(s[1], []).append(x)
+        back: dict[tuple[int, int], tuple] = {}
         fold = np.max if best else _logsum
-        for j in range(1, run.n + 1):
+        for j in range(1, n + 1):
             step = at[j - 1] + self.moves[:, k]
             ways = [[] for _ in range(k + 1)]
             ways[k].append(fold(step))
             if best:
-                back[j, k] = (j - 1, int(np.argmax(step)), -1)
+                back[j, k] = (j - 1, int(np.argmax(step)), None)
             top = [-np.inf] * k
-            for x in ending.get(j, ()):
-                i = run.segments[x][0]
+            for i, scores, what in ending(j):
                 step = at[i][:, None] + self.moves[:, :k]
-                value = fold(step, 0) + scores[x]
+                value = fold(step, 0) + scores
                 for y in range(k):
                     ways[y].append(value[y])
                     if best and value[y] > top[y]:
                         top[y] = value[y]
-                        back[j, y] = (i, int(np.argmax(step[:, y])), x)
+                        back[j, y] = (i, int(np.argmax(step[:, y])), what)
             at[j] = [fold(np.array(w)) if w else -np.inf for w in ways]
         return at, back
 
     def best(self, run: Run) -> list[tuple[str, int, int]]:
-        scores = self.scores(run)
-        at, back = self.ahead(run, scores, True)
+        at, back = self.ahead(run.n, lambda j: ((i, self.score(features), (begin, end)) for i, _, begin, end, features in run.ending(j)), True)
         j, y, out = run.n, int(np.argmax(at[-1])), []
         while j:
-            i, previous, x = back[j, y]
-            if x >= 0:
-                out.append((KINDS[y], run.segments[x][2], run.segments[x][3]))
+            i, previous, span = back[j, y]
+            if span:
+                out.append((KINDS[y], *span))
             j, y = i, previous
         return out[::-1]
 
@@ -227,11 +234,11 @@ def _logsum(x: np.ndarray, axis: int | None = None) -> np.ndarray:
     return out.reshape(()) if axis is None else np.squeeze(out, axis)
 
 
-def gold(run: Run, text: str, spans: dict[tuple[int, int], str]) -> list[tuple[int, int]]:
+def gold(segments: list[tuple], text: str, spans: dict[tuple[int, int], str]) -> list[tuple[int, int]]:
     """(segment, kind) for the segments that are labelled spans, from the left, the longer first."""
     out, done = [], 0
-    for x in sorted(range(len(run.segments)), key=lambda x: (run.segments[x][0], -run.segments[x][1])):
-        i, j, begin, end, features = run.segments[x]
+    for x in sorted(range(len(segments)), key=lambda x: (segments[x][0], -segments[x][1])):
+        i, j, begin, end, features = segments[x]
         if i < done:
             continue
         kind = spans.get((begin, end))
@@ -249,29 +256,32 @@ def fit(texts: list[str], seed: int = 0) -> Model:
     model, cases = Model({}, np.zeros((k + 1, k + 1))), []
     for text in texts:
         spans = {(b, e): kind for kind, b, e in base_spans(text)}
-        cases += [(run, gold(run, text, spans)) for run in runs(text)]
+        for run in runs(text):
+            segments = sorted(s for j in range(1, run.n + 1) for s in run.ending(j))
+            cases.append((run.n, segments, gold(segments, text, spans)))
     order = np.random.default_rng(seed)
     for epoch in range(EPOCHS):
         rate = RATE / (1 + epoch)
         for c in order.permutation(len(cases)):
-            run, right = cases[c]
-            scores = model.scores(run)
-            at, _ = model.ahead(run, scores, False)
+            n, segments, right = cases[c]
+            scores = [model.score(s[4]) for s in segments]
+            starting, ending = defaultdict(list), defaultdict(list)
+            for x, s in enumerate(segments):
+                starting[s[0]].append(x)
+                ending[s[1]].append((s[0], scores[x], x))
+            at, _ = model.ahead(n, lambda j, ending=ending: ending[j], False)
             total = _logsum(at[-1])
-            after = np.full((run.n + 1, k + 1), -np.inf)  # after[j][kind]: all ways to go on from j
+            after = np.full((n + 1, k + 1), -np.inf)  # after[j][kind]: all ways to go on from j
             after[-1] = 0
-            starting: dict[int, list[int]] = {}
-            for x, s in enumerate(run.segments):
-                starting.setdefault(s[0], []).append(x)
             move = np.zeros_like(model.moves)
-            for j in range(run.n - 1, -1, -1):
+            for j in range(n - 1, -1, -1):
                 on = [model.moves[:, k] + after[j + 1, k]]
                 move[:, k] += np.exp(at[j] + on[0] - total)
-                for x in starting.get(j, ()):
-                    go = model.moves[:, :k] + scores[x] + after[run.segments[x][1], :k]
+                for x in starting[j]:
+                    go = model.moves[:, :k] + scores[x] + after[segments[x][1], :k]
                     p = np.exp(at[j][:, None] + go - total)
                     move[:, :k] += p
-                    for f in run.segments[x][4]:
+                    for f in segments[x][4]:
                         model.weights.setdefault(f, np.zeros(k))
                         model.weights[f] -= rate * p.sum(0)
                     on.append(_logsum(go, 1))
@@ -279,14 +289,14 @@ def fit(texts: list[str], seed: int = 0) -> Model:
             model.moves -= rate * move
             previous, j = k, 0
             for x, y in [*right, (None, k)]:
-                upto = run.segments[x][0] if x is not None else run.n
+                upto = segments[x][0] if x is not None else n
                 while j < upto:
                     model.moves[previous, k] += rate
                     previous, j = k, j + 1
                 if x is not None:
                     model.moves[previous, y] += rate
-                    previous, j = y, run.segments[x][1]
-                    for f in run.segments[x][4]:
+                    previous, j = y, segments[x][1]
+                    for f in segments[x][4]:
                         model.weights[f][y] += rate
     return model
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_license_scan": licenses.query,
 }
 ORACLES = {
+    "op2_near_duplicates": dedup.ORACLE,
     "op5_threshold_topk": topk.ORACLE,
     "op10_license_scan": licenses.oracle(),
 }
