@@ -137,10 +137,9 @@ def rank_biased_overlap(rows: DataFrame, p: float = 0.9) -> DataFrame:
 
 
 def note_metrics(predicted: DataFrame, reference: DataFrame, rbo_p: float = 0.9) -> DataFrame:
-    """All metrics of each note and method."""
-    rows = judged(universe(predicted, reference))
-    order = ranked(rows)
-    out = ndcg(rows).join(positional(order), _KEY).join(rank_biased_overlap(order, rbo_p), _KEY).join(kendall_tau_b(rows), _KEY, "left")
+    """All metrics of each note and method, from one stored table of ranked items."""
+    rows = ranked(judged(universe(predicted, reference))).checkpoint()
+    out = ndcg(rows).join(positional(rows), _KEY).join(rank_biased_overlap(rows, rbo_p), _KEY).join(kendall_tau_b(rows), _KEY, "left")
     return out.select(*_KEY, *(F.coalesce(m, F.lit(0.0)).alias(m) for m in METRICS))
 
 

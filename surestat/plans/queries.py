@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import HOSPITAL_FAMILIES, HOSPITAL_STOPS, PLAIN_HEADINGS, Settings
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import evaluate, expansion, fusion, graph, linking, sampling, tokens
@@ -257,13 +258,25 @@ def json_entities(spark, d):
     return rows.select("index", T.json_entities(reply).alias("entities"))
 
 
-@query()
+def _cut(text: str, headings: list[str], stop: str) -> str:
+    """Sections from each heading up to a stop, which SQL's patterns can't look ahead to: it is matched and put back. That is the same
+    where no section follows one of its own heading."""
+    for heading in headings:
+        text = f"regexp_replace({text}, '(?ims)^\\s*{heading}.*?(^\\s*{stop}:|\\z)', chr(10) || '\\1', 'g')"
+    return text
+
+
+def _words(headings: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in headings) + ")"
+
+
+@query(f"SELECT index, {_cut('text', [re.escape(h) for h in PLAIN_HEADINGS], '[A-Z\\s/-]+')} AS text FROM {{notes}}")
 def section_removal(spark, d):
-    """Look-ahead is beyond DuckDB's expressions; hand-worked cases are in the tests."""
+    """Hand-worked cases, also of sections in a row, are in the tests."""
     return in_spark(spark, d, "notes").select("index", T.without_plain_sections(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"SELECT index, {_cut('text', [_words(f) + '\\s*:' for f in HOSPITAL_FAMILIES], _words(HOSPITAL_STOPS) + '\\s*')} AS text FROM {{notes}}")
 def hospital_section_removal(spark, d):
     return in_spark(spark, d, "notes").select("index", T.without_hospital_sections(F.col("text")).alias("text"))
 

@@ -84,3 +84,30 @@ def test_incremental_runs_take_new_files_only(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(source)
         ingest.available_now(spark, source, "id long", lambda d: d.withColumn("twice", F.col("id") * 2), sink, state)
     assert spark.read.parquet(sink).count() == 5
+
+
+def test_the_command_line_runs_and_resumes(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from surestat.__main__ import main
+    from surestat.models import Stub
+
+    names = Stub.names
+    (tmp_path / "notes.csv").write_text("index,discharge_summary\n" + "".join(f'{i},"HPI: note {i}\nAllergies: none"\n' for i in range(1, 4)))
+    columns = "x_index,x_id,x_type,x_name,y_index,y_id,y_type,y_name,display_relation"
+    pairs = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+    (tmp_path / "kg.csv").write_text("\n".join([columns, *(f"{i},P{i},disease,{names[i]},{j},P{j},disease,{names[j]},{'parent-child' if j == i + 1 else 'associated with'}" for i, j in pairs)]))
+    np.save(tmp_path / "m.npy", np.arange(12.0).reshape(6, 2) + 1j)
+    (tmp_path / "map.csv").write_text("primekg_node_id,matrix_index\n" + "".join(f"P{i},{i}\n" for i in range(6)))
+    monkeypatch.setenv("KGE_EMB_PATH", str(tmp_path / "m.npy"))
+    monkeypatch.setenv("KGE_MAP_PATH", str(tmp_path / "map.csv"))
+    common = ["--root", str(tmp_path / "out"), "--notes", str(tmp_path / "notes.csv"), "--provider", "surestat.models:Stub", "--num-samples", "4", "--kg", str(tmp_path / "kg.csv")]
+    assert main(["extract", *common, "--end-index", "2"], spark).count() == 2
+    assert sorted(r["index"] for r in main(["extract", *common], spark).collect()) == [1, 2, 3]  # the two that are done aren't asked again
+    assert {r["index"] for r in main(["sample", *common], spark).collect()} == {1, 2, 3}
+    scored = main(["combine", *common], spark)
+    assert {r["index"] for r in scored.collect()} == {1, 2, 3} and "uq_rrf" in scored.columns
+    metrics = main(["evaluate", *common], spark)
+    assert metrics.count() > 0 and {"ndcg_5", "kendall_tau_b"} <= set(metrics.columns)
+    with pytest.raises(SystemExit):
+        main(["guess"], spark)
