@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from ..functions import numeric as N
 
 #: A graph whose transitions take more bytes than this in a worker walks by joins (walk), not from memory (walk_in_memory).
 EDGE_BYTES, MEMORY_BYTES = 12, 256_000_000
-#: Notes that walk together, and bytes that a step gathers at once.
-NOTES, STEP_BYTES = 32, 16_000_000
+#: Notes that walk together, the least that are worth a task, and bytes that a step gathers at once.
+NOTES, LEAST_NOTES, STEP_BYTES = 32, 8, 1 << 20
 
 _built: dict = {}
 
@@ -182,29 +183,33 @@ class Moves:
         self.moving = np.zeros(len(ids), bool)
         self.moving[src] = True
 
-    def step(self, x: np.ndarray) -> np.ndarray:
-        """What comes to each node (nodes x notes)."""
-        out = np.zeros_like(x)
+    def step(self, x: np.ndarray, out: np.ndarray) -> None:
+        """Puts into out what comes to each node (nodes x notes)."""
         for targets, sources, weights in self.groups:
             rows = max(1, STEP_BYTES // (8 * sources.shape[1] * x.shape[1]))
             for i in range(0, len(targets), rows):
                 out[targets[i : i + rows]] = (weights[i : i + rows] @ x[sources[i : i + rows]])[:, 0]
-        return out
 
     def walked(self, every: np.ndarray, p0: np.ndarray, steps: int, restart: float, tolerance: float | None) -> np.ndarray:
         """Columns of p0 after their walks; every: the graph's nodes, then start nodes that aren't in it."""
         n = len(self.ids)
-        stuck = np.r_[~self.moving, np.ones(len(every) - n, bool)]
-        out, live, x = p0.copy(), np.arange(p0.shape[1]), p0
+        stuck = np.r_[np.flatnonzero(~self.moving), np.arange(n, len(every))]
+        out, live, x, start = p0.copy(), np.arange(p0.shape[1]), p0.copy(), p0
+        # only start nodes get anything back, at most some of each note's
+        began = np.flatnonzero(p0.any(1))
         for _ in range(steps):
-            start = p0[:, live]
-            new = x[stuck].sum(0) * start
-            new[:n] += self.step(x[:n])
-            new = (1 - restart) * new + restart * start
-            change, x = np.abs(new - x).sum(0), new
-            if tolerance is not None and (done := change < tolerance).any():
+            new = np.zeros_like(x)
+            self.step(x[:n], new[:n])
+            new *= 1 - restart
+            new[began] += start[began] * ((1 - restart) * x[stuck].sum(0) + restart)
+            if tolerance is None:
+                x = new
+                continue
+            x -= new
+            done, x = np.abs(x, out=x).sum(0) < tolerance, new
+            if done.any():
                 out[:, live[done]] = x[:, done]
-                live, x = live[~done], x[:, ~done]
+                live, x, start = live[~done], x[:, ~done].copy(), start[:, ~done].copy()
                 if not len(live):
                     break
         out[:, live] = x
@@ -223,39 +228,48 @@ def shared_moves(q: DataFrame) -> Callable[[], Moves]:
     arrays = ids, np.searchsorted(ids, src).astype(np.int32), np.searchsorted(ids, dst).astype(np.int32), w.astype(np.float64)
     shared, token = q.sparkSession.sparkContext.broadcast(arrays), uuid.uuid4().hex
 
-    def get() -> Moves:
-        if token not in _built:
-            _built.clear()
-            _built[token] = Moves(*shared.value)
-        return _built[token]
+    return partial(built_moves, token, shared)
+
 
-    return get
+def built_moves(token: str, shared) -> Moves:
+    """This process's Moves of what is broadcast; those of an earlier graph go."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = Moves(*shared.value)
+    return _built[token]
 
 
 def walk_blocks(starts: DataFrame, moves: Callable[[], Moves], finish: Callable, schema: str, steps: int, restart: float, tolerance: float | None) -> DataFrame:
-    """Walks for blocks of about NOTES notes. starts (note, index, prob, and more) may have rows without prob, which start nothing.
-    finish(rows, notes, every, p) makes the block's result from its rows, notes, nodes (in rising order but for start
-    nodes outside the graph, which come last) and probabilities (nodes x notes)."""
-    blocks = max(1, -(-starts.select("note").distinct().count() // NOTES))
+    """Walks for blocks of about NOTES notes, which a task reads in order of notes. starts (note, index, prob, and more) may have rows
+    without prob, which start nothing. finish(rows, notes, every, p) makes the block's result from its rows, notes, nodes (in
+    rising order but for start nodes outside the graph, which come last) and probabilities (nodes x notes)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        matrix, found = moves(), []
+    def block(matrix: Moves, rows: pd.DataFrame) -> pd.DataFrame:
         notes = np.unique(rows["note"].to_numpy())
-        for i in range(0, len(notes), NOTES):
-            some = notes[i : i + NOTES]
-            own = rows[rows["note"].isin(some)]
-            began = own[own["prob"].notna()]
-            index = began["index"].to_numpy(np.int64)
-            every = np.concatenate([matrix.ids, np.setdiff1d(index, matrix.ids)])
-            p0 = np.zeros((len(every), len(some)))
-            np.add.at(p0, (places(every, index), np.searchsorted(some, began["note"].to_numpy())), began["prob"].to_numpy(np.float64))
-            found.append(finish(own, some, every, matrix.walked(every, p0, steps, restart, tolerance)))
-        return pd.concat(found)
+        began = rows[rows["prob"].notna()]
+        index = began["index"].to_numpy(np.int64)
+        every = np.concatenate([matrix.ids, np.setdiff1d(index, matrix.ids)])
+        p0 = np.zeros((len(every), len(notes)))
+        np.add.at(p0, (places(every, index), np.searchsorted(notes, began["note"].to_numpy())), began["prob"].to_numpy(np.float64))
+        return finish(rows, notes, every, matrix.walked(every, p0, steps, restart, tolerance))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame()
+        for batch in batches:
+            held = pd.concat([held, batch]) if len(held) else batch
+            while len(notes := held["note"].unique()) > 2 * NOTES:
+                whole = held["note"].isin(notes[:NOTES])
+                yield block(moves(), held[whole])
+                held = held[~whole]
+        if len(held):
+            notes = held["note"].unique()
+            for part in np.array_split(notes, max(1, round(len(notes) / NOTES))):
+                yield block(moves(), held[held["note"].isin(part)])
 
     # dealt by a number of its own: rows are few, and the work isn't in proportion to their bytes
-    tasks = min(blocks, 4 * starts.sparkSession.sparkContext.defaultParallelism)
-    dealt = starts.withColumn("block", F.pmod(F.xxhash64("note"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
-    return dealt.groupBy("block").applyInPandas(run, schema)
+    notes = starts.select("note").distinct().count()
+    tasks = max(1, min(-(-notes // LEAST_NOTES), 4 * starts.sparkSession.sparkContext.defaultParallelism))
+    return starts.repartition(tasks, "note").sortWithinPartitions("note").mapInPandas(run, schema)
 
 
 def places(every: np.ndarray, index: np.ndarray) -> np.ndarray:

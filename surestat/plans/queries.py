@@ -382,7 +382,7 @@ def _even_starts(spark, d):
 @query("SELECT note, index, round(p, 9) AS p FROM walked", _STOPPED)
 def rwr_fixed_k(spark, d):
     """At most 50 steps, fewer where a note's change falls below the tolerance."""
-    q = graph.transitions(graph.weighted_edges(_valid(spark, d)))
+    q = graph.transitions(graph.weighted_edges(_valid(spark, d))).checkpoint()
     return rounded(graph.walk_in_memory(q, _even_starts(spark, d), SETTINGS.walk_steps, SETTINGS.restart_rate, SETTINGS.walk_tolerance), 9)
 
 
@@ -460,9 +460,9 @@ _EXPANDED = f"""{_STOPPED}, scores AS (
 def _expansion(spark, d):
     """(scores, generated, nodes): the start nodes stand in for what was generated."""
     edges = _valid(spark, d)
-    plain, nodes, starts = graph.weighted_edges(edges), graph.nodes(edges), _even_starts(spark, d)
+    plain, nodes, starts = graph.weighted_edges(edges).checkpoint(), graph.nodes(edges).checkpoint(), _even_starts(spark, d).checkpoint()
     made = starts.join(nodes, "index").select("note", "index", F.col("name").alias("disease"))
-    return expansion.scored(graph.transitions(plain), starts, graph.degrees(plain), graph.targets(nodes), made, SETTINGS), made, nodes
+    return expansion.scored(graph.transitions(plain).checkpoint(), starts, graph.degrees(plain), graph.targets(nodes), made, SETTINGS), made, nodes
 
 
 @query("SELECT note, index, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM top", _EXPANDED)
