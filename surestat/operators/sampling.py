@@ -72,6 +72,26 @@ def leader_clusters(samples: DataFrame, entailed: DataFrame | None = None, num_s
     return first.groupBy(note).cogroup(entailed.groupBy(note)).applyInPandas(lambda x, y: place(x, y) if len(x) else pd.DataFrame(columns=[note, "disease", "uq"]), schema)
 
 
+def clusters_by_rounds(samples: DataFrame, judge: Callable[[DataFrame], DataFrame], num_samples: int = 100, note: str = "index") -> DataFrame:
+    """As leader_clusters(), but asking only about pairs of a leader and a name, for all notes at once. (note, disease, uq)
+
+    In a round each note's first name that is in no cluster leads the next one, and judge gets (note, leader, name) for the names
+    left and returns those that are alike; they are the leader's, as no earlier leader took them. There are as many rounds as the note of
+    most clusters has, and pairs in proportion to names times clusters, not to names squared. Each round's rows are stored."""
+    first = samples.groupBy(note, F.lower(F.trim("disease")).alias("_name")).agg(F.min(F.struct("sample_id", "ord", "disease")).alias("at"), F.collect_set("sample_id").alias("held"))
+    left, found = first.checkpoint(), None
+    while True:
+        leaders = left.groupBy(note).agg(F.min(F.struct("at.sample_id", "at.ord", "_name", "at.disease")).alias("lead"))
+        asked = left.join(leaders, note).select(note, "_name", "held", F.col("lead._name").alias("_lead"), F.col("lead.disease").alias("leader"), F.col("at.disease").alias("name"))
+        alike = judge(asked.where("_name <> _lead").select(note, "leader", "name")).select(note, "name", F.lit(True).alias("_alike"))
+        taken = asked.join(alike, [note, "name"], "left").where("_name = _lead OR _alike").select(note, "_name", "leader", "held").checkpoint()
+        found = taken if found is None else found.unionByName(taken)
+        left = left.join(taken.select(note, "_name"), [note, "_name"], "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    return found.select(note, "leader", F.explode("held").alias("sample")).groupBy(note, "leader").agg((F.count_distinct("sample") / F.lit(num_samples)).alias("uq")).withColumnRenamed("leader", "disease")
+
+
 def name_pairs(names: DataFrame, note: str = "index", name: str = "disease") -> DataFrame:
     """Distinct unordered pairs (note, a, b) of a note's names, lower case: what an entailment model has to judge once."""
     distinct = names.select(note, F.lower(F.trim(name)).alias("a")).distinct()

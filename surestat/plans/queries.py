@@ -528,6 +528,13 @@ def entailed_clusters(spark, d):
     return rounded(sampling.leader_clusters(names, sampling.entailed_pairs(judged).select("index", "a", "b")))
 
 
+@query(ORACLES["entailed_clusters"])
+def clusters_by_rounds(spark, d):
+    """The same, asking in each round about pairs of a leader and a name."""
+    first = lambda c: F.split(F.lower(F.trim(c)), " ")[0]
+    return rounded(sampling.clusters_by_rounds(in_spark(spark, d, "samples"), lambda pairs: pairs.where(first("leader") == first("name"))))
+
+
 _ENTRIES = "SELECT index, max(upper(item)) AS entry FROM {gains} GROUP BY 1"
 
 

@@ -34,9 +34,8 @@ def reference_scores(notes: DataFrame, settings: Settings, factory: Callable = m
     prompts = prepared(notes, settings, factory).select("index", T.diagnosis_prompt(F.col("text")).alias("prompt"))
     texts = models.sampled(prompts, settings.num_samples, batch=settings.batch_size, factory=factory)
     names = T.parsed_lists(texts, "text", "index", "sample_id").withColumn("ord", F.col("ord").cast("long")).checkpoint()
-    judged = models.entailment(sampling.name_pairs(names), factory=factory)
-    pairs = sampling.entailed_pairs(judged, settings.entailment_mode).select("index", "a", "b")
-    scores = sampling.leader_clusters(names, pairs, settings.num_samples)
+    alike = lambda pairs: sampling.entailed_pairs(models.entailment(pairs, "leader", "name", factory), settings.entailment_mode)
+    scores = sampling.clusters_by_rounds(names, alike, settings.num_samples)
     return expansion.with_placeholders(notes, scores, {})
 
 

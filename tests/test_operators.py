@@ -133,6 +133,30 @@ def test_fusion(spark):
     assert math.isclose(one(spark, N.fused(F.lit(1.0), F.lit(0.4), 0.25)), 0.55)
 
 
+def test_rounds_of_leaders_equal_the_sequential_fold(spark):
+    """Entailment that isn't transitive, so that order matters."""
+    pick = random.Random(2)
+    names = [f"name {c}" for c in "abcdefghij"]
+    alike = {frozenset(x) for x in (("name a", "name c"), ("name c", "name e"), ("name b", "name e"), ("name f", "name a"), ("name g", "name j"), ("name d", "name c"))}
+    rows = [(n, s, o, pick.choice([str.upper, str.title, str])(pick.choice(names))) for n in range(6) for s in range(5) for o in range(3)]
+    samples = spark.createDataFrame(rows, "index long, sample_id int, ord long, disease string")
+    low = lambda c: F.lower(F.trim(c))
+    known = spark.createDataFrame([tuple(sorted(x)) for x in alike], "a string, b string")
+    asked = []
+
+    def judge(pairs):
+        asked.append(pairs.count())
+        ends = pairs.withColumn("a", F.least(low("leader"), low("name"))).withColumn("b", F.greatest(low("leader"), low("name")))
+        return ends.join(known, ["a", "b"], "left_semi")
+
+    want = sampling.leader_clusters(samples, sampling.name_pairs(samples).join(known, ["a", "b"], "left_semi").select("index", "a", "b"), 5)
+    got = sampling.clusters_by_rounds(samples, judge, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sum(asked) < sampling.name_pairs(samples).count()
+    empty = samples.where("false")
+    assert sampling.clusters_by_rounds(empty, lambda p: p, 5).count() == 0
+
+
 # ---- graph
 
 def test_last_weight_of_an_edge_wins(spark):
