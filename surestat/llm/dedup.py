@@ -213,6 +213,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_batch(near, make, "a long, b long")
 
 
+def of_buckets(rows: DataFrame) -> DataFrame:
+    """A row for each bucket, dealt out again: only where both sides of a join come from a shuffle can adaptive execution split a
+    bucket's members over tasks."""
+    return rows.repartition("bucket")
+
+
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """verified(), stored, so that the next step's workers don't stand beside these."""
     return written(verified(pairs, sets, percent), "verified")
@@ -234,9 +240,9 @@ def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     cost = (8 * F.col("n") + 64).alias("cost")
     main = members.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
     whole = members.groupBy("bucket").agg(F.min("n").alias("least"), F.ceil(F.sum(cost) / BLOCK_BYTES).cast("int").alias("targets"))
-    sides = members.join(whole.join(main, "bucket"), "bucket")
+    sides = written(members.join(of_buckets(whole.join(main, "bucket")), "bucket"), "sides")
     asking = sides.where("c <> main").where(within_reach(F.col("n"), F.col("o"), F.col("least"), percent))
-    asked = asking.groupBy("bucket").agg(F.ceil(F.sum(cost) / BLOCK_BYTES).cast("int").alias("askers"))
+    asked = of_buckets(asking.groupBy("bucket").agg(F.ceil(F.sum(cost) / BLOCK_BYTES).cast("int").alias("askers")))
     block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     asking = asking.join(asked, "bucket").withColumn("qb", block("askers")).withColumn("tb", every("targets"))
@@ -336,7 +342,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     # buckets with two classes or more
     banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
     ends = banded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node < high.node")
-    shared = written(banded.join(ends, "bucket"), "buckets")
+    shared = written(banded.join(of_buckets(ends), "bucket"), "buckets")
     involved = classes.join(shared.select("node").distinct(), "node", "left_semi")
     place = [F.coalesce("doc", F.lit(0)).alias("at"), "mark"]
     texts = docs.select(*place, "text").join(involved.select("node", *place), ["at", "mark"]).select("node", "text").dropDuplicates(["node"])
@@ -359,7 +365,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
         """Members with their groups c, of buckets that hold several groups."""
         members = members.join(found.select(F.col("doc").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         several = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members")).where("c0 < c1")
-        return members.join(several.select("bucket", "members"), "bucket")
+        return members.join(of_buckets(several.select("bucket", "members")), "bucket")
 
     def joined(more: DataFrame) -> DataFrame:
         return written(grouped(more.union(found.select(F.col("component").alias("a"), F.col("doc").alias("b")))), "groups")
@@ -371,9 +377,9 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     able = written(able.where(within_reach(F.col("n"), F.col("o"), F.ceil(F.col("n") * percent / 100), percent)), "able")
 
     # the member with the least share of shingles of its own is the likeliest to be linked with the others
-    left = placed(able)
+    left = written(placed(able), "left")
     hub = F.min_by(F.struct("node", "n", "c"), F.struct((F.col("n") - F.col("o")) / F.col("n"), F.xxhash64("node", "bucket"))).alias("hub")
-    asked = left.join(left.groupBy("bucket").agg(hub), "bucket").where("c <> hub.c").select("hub", F.struct("node", "n").alias("own")).select(*ends_of("hub", "own"))
+    asked = left.join(of_buckets(left.groupBy("bucket").agg(hub)), "bucket").where("c <> hub.c").select("hub", F.struct("node", "n").alias("own")).select(*ends_of("hub", "own"))
     asked = pairs(asked, tried, "hub-pairs")
     found, tried = joined(links_of(asked, sets, percent)), tried.union(asked)
 
