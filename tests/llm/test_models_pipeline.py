@@ -229,6 +229,29 @@ def test_quality_of_messy_rows(spark, messy, empty):
     assert quality.accepted(empty, labels).count() == 0
 
 
+def one_a_group(rows):
+    """The rows that stay, all pairs of five-word sets being compared; ids and texts of these rows are unique but for copies."""
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset())
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, a in enumerate(sets):
+        for y in range(x):
+            if a and 100 * len(a & sets[y]) >= 80 * len(a | sets[y]):
+                up[root(x)] = root(y)
+    groups = {}
+    for x, r in enumerate(rows):
+        groups.setdefault(root(x) if sets[x] else -1 - x, []).append((r.doc_id is None, r.doc_id or 0, r.doc_id, r.text))
+    return Counter(min(g, key=lambda t: t[:2])[2:] for g in groups.values())
+
+
 def test_pipeline_stages(spark, docs, messy, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     copies = docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 5000)
@@ -246,7 +269,14 @@ def test_pipeline_stages(spark, docs, messy, tmp_path):
     ids = lambda n: {r.doc_id for r in seen[n].collect()}
     assert clean <= ids("language_id") | {4, 5, 6, 7} and 7 not in {r.doc_id for r in seen["language_id"].where("text LIKE '12345%'").collect()}
     near = ids("near_duplicates")
+    assert Counter((r.doc_id, r.text) for r in seen["near_duplicates"].collect()) == one_a_group(seen["quality_classifier"].collect())
     assert not near & set(range(5000, 5020)) and clean - near <= {2}
     assert "example.org" not in " ".join(r.text or "" for r in seen["personal_data"].collect())
     pieces = seen["best_fit_packing"].collect()
-    assert {r.doc_id for r in pieces} == ids("personal_data") and sum(r.length for r in pieces) > 0
+    assert {r.doc_id for r in pieces} == ids("personal_data")
+    held = {}
+    for r in pieces:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in held.values():  # gapless from 0
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *[n for _, n in sorted(parts)][:-1]])) and sum(n for _, n in parts) <= 2048
+    assert len(held) <= -(-sum(r.length for r in pieces) // 2048) + 1
