@@ -78,6 +78,11 @@ def test_sinks(spark, tmp_path):
     assert tuple(stats.first()) == (1, "flu", 1.0, 1.0, 1.0, 1.0)
 
 
+def test_reports_are_printed(spark, capsys):
+    sinks.report(spark.createDataFrame([(1, "a long name that isn't cut off anywhere")], "index long, name string"))
+    assert "a long name that isn't cut off anywhere" in capsys.readouterr().out
+
+
 def test_incremental_runs_take_new_files_only(spark, tmp_path):
     source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for n in (3, 2):
