@@ -79,12 +79,13 @@ class WordIds(dict):
         new = words - self.keys()
         plain, other, made = set(), [], []
         for w in new:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
-            if not (stem.isalpha() and stem.lower().isalpha()):  # a letter may become a letter and a mark
+            stem, mark = (w[:-1], w[-1]) if w.endswith((".", ",")) else (w, "")
+            low = stem.lower()
+            if not low.isalpha() or not stem.isalpha():  # a letter may become a letter and a mark
                 other.append(w)
                 continue
-            if stem.isascii():
-                stem = stem.lower()
+            if low.isascii() and stem.isascii():
+                stem = low
             if stem not in self:
                 plain.add(stem)
             if stem != w:
@@ -93,7 +94,7 @@ class WordIds(dict):
         self.encode_together(list(plain))
         for w, stem, mark in made:
             self[w] = self[stem] + self[mark] if mark else self[stem]
-        self.held += sum(150 + 2 * len(w) + len(self[w]) for w in new)
+        self.held += 150 * len(new) + 5 * sum(map(len, new))  # about an id for each four letters
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         if self.held > REMEMBERED:
