@@ -42,6 +42,8 @@ PERCENT = 80
 REMEMBERED = 64_000_000
 #: Buckets of so few members are compared pair by pair, others in blocks of about BLOCK_BYTES.
 FEW, BLOCK_BYTES = 8, 4_000_000
+#: Parts that repeated rows are dealt into.
+SALTS = 64
 #: Elements whose permutations are held at once.
 ELEMENTS = 32_768
 
@@ -427,8 +429,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT, key: str =
     again = judged.where("stays")
     if again.isEmpty():
         return single
-    # equal rows meet before the shuffle already
-    once = own.join(again.select(*names), names, "left_semi").groupBy(*names).agg(F.first("__row").alias("__row"))
+    # a row that makes up much of the table meets its equals in SALTS parts first
+    salted = own.join(again.select(*names), names, "left_semi").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    once = salted.groupBy(*names, "__salt").agg(F.first("__row").alias("__row")).groupBy(*names).agg(F.first("__row").alias("__row"))
     return single.unionByName(once.select("__row.*"))
 
 
