@@ -247,6 +247,30 @@ def test_both_forms_of_the_walk_agree_and_stop_note_by_note(spark, monkeypatch,
     assert len(taken) > 1 or tolerance is None
 
 
+def test_the_walk_by_joins_stores_no_rows_between_steps(spark, monkeypatch):
+    edges, starts = random_graph(spark, 1)
+    q = graph.transitions(edges)
+    memory = {(r.note, r["index"]): r.p for r in graph.walk_in_memory(q, starts, 30, 0.2, None).collect()}
+    monkeypatch.setattr(type(q), "checkpoint", lambda *a: pytest.fail("a step's rows are notes x nodes"))
+    monkeypatch.setattr(graph, "PACKET", 20)
+    joins = {(r.note, r["index"]): r.p for r in graph.walk(q, starts, 30, 0.2, None).collect()}
+    assert memory.keys() == joins.keys() and all(math.isclose(memory[x], joins[x], rel_tol=1e-12) for x in memory)
+
+
+def test_transitions_past_the_memory_go_to_files(monkeypatch):
+    pick = np.random.default_rng(4)
+    src, dst, w = pick.integers(0, 50, 400), pick.integers(0, 50, 400), pick.random(400)
+    x, want, out = pick.random((50, 3)), np.zeros((50, 3)), np.zeros((50, 3))
+    np.add.at(want, dst, w[:, None] * x[src])
+    packets = [[src[part].tobytes(), dst[part].tobytes(), w[part].tobytes()] for part in (dst < 20, dst >= 20)]
+    monkeypatch.setattr(graph, "MEMORY_BYTES", 1000)
+    monkeypatch.setattr(graph, "PART_BYTES", 10)
+    moves = graph.unpacked(packets)
+    moves.step(x[moves.ids], half := np.zeros((len(moves.ids), 3)))
+    out[moves.ids] = half
+    assert any(isinstance(g[1].base, np.memmap) or isinstance(g[1], np.memmap) for g in moves.groups) and np.allclose(out, want, rtol=1e-12)
+
+
 def test_scores_of_blocks_equal_those_by_joins(spark, monkeypatch):
     edges, starts = random_graph(spark, 2)
     monkeypatch.setattr(graph, "NOTES", 4)
