@@ -51,6 +51,10 @@ def test_query_without_sql_has_rows(spark, name):
     assert plans.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_both_walks_go_all_steps():
+    assert plans.ORACLES["rwr_by_joins"] == plans.ORACLES["rwr_fixed_k"]
+
+
 def test_entry_points(spark):
     found = __spark_entry__.queries()
     assert set(plans.QUERIES) <= set(found) and set(__spark_entry__.oracle_sql()) <= set(found)
