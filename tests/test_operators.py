@@ -257,6 +257,29 @@ def test_the_walk_by_joins_stores_no_rows_between_steps(spark, monkeypatch):
     assert memory.keys() == joins.keys() and all(math.isclose(memory[x], joins[x], rel_tol=1e-12) for x in memory)
 
 
+@pytest.mark.parametrize("tolerance", [None, 1e-4, 1e-6])
+def test_late_steps_of_a_block_take_a_few_directions(monkeypatch, tolerance):
+    pick = np.random.default_rng(3)
+    dense = np.kron(np.ones((2, 2)) - np.eye(2), pick.random((150, 150)) < 0.5) * 1.0  # two sides, as parts and suppliers
+    dense = np.triu(dense) + np.triu(dense).T
+    dense /= dense.sum(1, keepdims=True)
+    src, dst = np.nonzero(dense)
+    p0 = np.where(pick.random((300, 20)) < 0.1, pick.random((300, 20)), 0)
+    p0 /= p0.sum(0)
+    moves, full, step = graph.Moves(np.arange(300), (src, dst, dense[src, dst])), [], graph.Moves.step
+    monkeypatch.setattr(graph.Moves, "step", lambda self, x, *a: (full.append(x.shape[1]), step(self, x, *a)))
+    got = moves.walked(np.arange(300), p0, 50, 0.2, tolerance)
+    for j in range(20):
+        x = p0[:, j]
+        for _ in range(50):
+            new = 0.8 * (x @ dense) + 0.2 * p0[:, j]
+            change, x = np.abs(new - x).sum(), new
+            if tolerance is not None and change < tolerance:
+                break
+        assert np.abs(got[:, j] - x).max() < 1e-15
+    assert sum(n > 10 for n in full) < 30
+
+
 def test_transitions_past_the_memory_go_to_files(monkeypatch):
     pick = np.random.default_rng(4)
     src, dst, w = pick.integers(0, 50, 400), pick.integers(0, 50, 400), pick.random(400)
