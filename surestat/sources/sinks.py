@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 
+#: Most rows of a CSV file.
+FILE_ROWS = 250_000
+
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir; a local session without one gets a temporary folder."""
@@ -31,8 +34,9 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def append_csv(rows: DataFrame, path: str) -> None:
-    """Every part has its header, so that parts of several runs can be read together; blanks at a value's ends stay."""
-    rows.write.mode("append").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    """Every part has its header, so that parts of several runs can be read together; blanks at a value's ends stay. A task's rows go to files of
+    FILE_ROWS, whose names are in their order (for 1,000 files a task), as a file is read by one task."""
+    rows.write.mode("append").options(header=True, maxRecordsPerFile=FILE_ROWS, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def append_table(rows: DataFrame, root: str, settings: Settings, kind: str) -> None:

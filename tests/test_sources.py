@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from surestat.config import Settings
 from surestat.operators import expansion
+from surestat.plans import queries as plans
 from surestat.sources import sinks, tables
 from surestat.streaming import ingest
 
@@ -16,6 +17,23 @@ def test_notes_with_line_feeds_and_quotes(spark, tmp_path):
         tables.notes(spark, str(tmp_path / "none.csv"), Settings())
 
 
+def test_a_task_writes_csv_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 30)
+    path = str(tmp_path / "kg")
+    sinks.append_csv(spark.range(100).coalesce(1).selectExpr("id AS x_index", "'a\nb' AS x_name"), path)
+    rows = tables.kg_edges(spark, path)
+    assert [r.x_index for r in rows.orderBy("ord").collect()] == list(range(100)) and {r.x_name for r in rows.collect()} == {"a\nb"}
+    assert [len(f.read_text().split("\"\n")) - 1 for f in sorted((tmp_path / "kg").glob("*.csv"))] == [30, 30, 30, 10]
+
+
+def test_the_graph_goes_to_more_files_as_it_grows(spark, monkeypatch):
+    wrote, write = [], sinks.append_csv
+    monkeypatch.setattr(plans, "FILE_ROWS", 1000)
+    monkeypatch.setattr(sinks, "append_csv", lambda rows, path: (wrote.append(rows.rdd.getNumPartitions()), write(rows, path)))
+    got = plans.QUERIES["kg_scan"](spark, "/root/testdata/sf0.001")
+    assert wrote[0] >= 6 and got.exceptAll(plans.QUERIES["kg_edges_weighted"](spark, "/root/testdata/sf0.001")).isEmpty()
+
+
 def test_ranges_by_place(spark):
     rows = spark.range(0, 1000, 3).select(F.col("id").alias("index")).repartition(5)
     assert sorted(r["index"] for r in tables.in_range(rows, 2, 5).collect()) == [6, 9, 12]
