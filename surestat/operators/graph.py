@@ -17,6 +17,8 @@ from ..functions import numeric as N
 
 #: A graph whose transitions take more bytes than this in a worker walks by joins (walk), not from memory (walk_in_memory).
 EDGE_BYTES, MEMORY_BYTES = 12, 256_000_000
+#: The like for PageRank, whose steps by joins have rows for nodes alone.
+RANK_BYTES = 4_000_000
 #: Notes that walk together, the least that are worth a task, and bytes that a step gathers at once.
 NOTES, LEAST_NOTES, STEP_BYTES = 32, 8, 1 << 19
 #: Steps of a block at which its changes are tried for a few directions, what of them counts as none (less than
@@ -91,12 +93,12 @@ def targets(node_table: DataFrame) -> DataFrame:
 
 def pagerank(tree: DataFrame, members: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, n_edges: int | None = None) -> DataFrame:
     """(index, rank). Power iteration; mass of nodes without an edge out spreads evenly; stops early when the L1 change is below
-    nodes x tolerance (None: never). It is a walk that starts again at any member alike, from memory where the tree and its
-    members fit, else by joins."""
+    nodes x tolerance (None: never). It is a walk that starts again at any member alike: from memory for a tree of at most RANK_BYTES, as
+    that comes to the driver and one task walks it, else by joins."""
     n = members.count()
     if not n:
         return members.withColumn("rank", F.lit(0.0))
-    if not fits_in_memory((tree.count() if n_edges is None else n_edges) + 2 * n):
+    if EDGE_BYTES * ((tree.count() if n_edges is None else n_edges) + 2 * n) > RANK_BYTES:
         return pagerank_by_joins(tree, members, n, steps, damping, tolerance)
     q = tree.join(tree.groupBy("src").agg((1 / F.count("*")).alias("q")), "src")
     start = members.select(F.lit(0).alias("note"), "index", F.lit(1.0 / n).alias("prob"))
@@ -105,17 +107,18 @@ def pagerank(tree: DataFrame, members: DataFrame, steps: int = 100, damping: flo
 
 
 def pagerank_by_joins(tree: DataFrame, members: DataFrame, n: int, steps: int, damping: float, tolerance: float | None) -> DataFrame:
-    """As pagerank(). Each step's ranks are checkpointed, so plans don't grow; the change and the loose mass come to the driver."""
+    """As pagerank(). Each step's ranks are checkpointed, so plans don't grow; the change and the loose mass come to the
+    driver, and no side of a join."""
     out = tree.groupBy("src").agg(F.count("*").alias("out"))
-    moves = tree.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("q")).persist()
-    rank = members.join(out.select(F.col("src").alias("index"), F.lit(False).alias("dangling")), "index", "left")
+    moves = tree.join(out.hint("merge"), "src").select("src", "dst", (1 / F.col("out")).alias("q")).persist()
+    rank = members.join(out.select(F.col("src").alias("index"), F.lit(False).alias("dangling")).hint("merge"), "index", "left")
     rank = rank.select("index", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("was")).checkpoint()
     loose = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))
     mass = rank.agg(loose).first()[0]
     for _ in range(steps):
-        come = moves.join(rank, F.col("src") == F.col("index")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("q")).alias("come"))
+        come = moves.join(rank.hint("merge"), F.col("src") == F.col("index")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("q")).alias("come"))
         base = (1 - damping) / n + damping * mass / n
-        new = rank.join(come, F.col("index") == F.col("dst"), "left").select("index", "dangling", (F.lit(base) + damping * F.coalesce("come", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
+        new = rank.join(come.hint("merge"), F.col("index") == F.col("dst"), "left").select("index", "dangling", (F.lit(base) + damping * F.coalesce("come", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
         rank = new.checkpoint()
         mass, change = rank.agg(loose, F.sum(F.abs(F.col("rank") - F.col("was")))).first()
         if tolerance is not None and change < n * tolerance:

@@ -208,6 +208,15 @@ def test_pagerank_stops_where_the_change_is_small(spark):
         assert len(got) == n and all(math.isclose(got[i + 1], x[i], rel_tol=1e-12) for i in range(n))
 
 
+def test_pagerank_of_a_larger_tree_stays_off_the_driver(spark, monkeypatch):
+    tree = spark.createDataFrame([(2, 1), (3, 1), (4, 2)], "src long, dst long")
+    members = spark.createDataFrame([(i,) for i in range(1, 6)], "index long")
+    want = {r["index"]: r["rank"] for r in graph.pagerank(tree, members, 12).collect()}
+    monkeypatch.setattr(graph, "shared_moves", lambda q: pytest.fail("the tree comes to the driver"))
+    got = {r["index"]: r["rank"] for r in graph.pagerank(tree, members, 12, n_edges=1_000_000).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in want)
+
+
 def random_graph(spark, seed, nodes=40):
     pick = np.random.default_rng(seed)
     pairs = {(int(min(a, b)), int(max(a, b))) for a, b in pick.integers(0, nodes, (90, 2))}
