@@ -14,16 +14,40 @@ from ..config import NO_DETAIL
 from ..functions import numeric as N
 from ..functions import text as T
 
-#: Names whose vectors are compared at once, and graph nodes that they are compared with.
-BLOCK, PART = 4096, 16_384
+#: Names whose vectors a task compares, graph nodes that they are compared with, the least names that are worth a task, and names at once.
+BLOCK, PART, LEAST, ROWS = 16_384, 16_384, 1024, 256
+
+
+def best_columns(x: np.ndarray, y: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, product) of the k greatest products with y of each of ROWS rows of x from first on; ties to the smaller column, NaN last.
+
+    Columns are looked at in groups: at least k products reach the k-th greatest maximum of a group, so only those that do are sorted.
+    They are computed anew one by one, so that equal vectors tie wherever they stand."""
+    x = x[first : first + ROWS]
+    sim = x @ y.T
+    if odd := bool(np.isnan(sim).any()):
+        sim[np.isnan(sim)] = -np.inf
+    groups = len(y) // 64
+    if groups >= k:
+        tops = np.concatenate([sim[:, : 64 * groups].reshape(len(x), 64, groups).max(1), sim[:, 64 * groups :]], axis=1)
+        least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+    else:
+        least = np.full(len(x), -np.inf)
+    row, at = np.nonzero(sim >= least[:, None] - 1e-12)
+    good = np.concatenate([(x[row[i : i + 65_536]] * y[at[i : i + 65_536]]).sum(1) for i in range(0, max(1, len(row)), 65_536)])
+    order = np.lexsort((at, np.where(np.isnan(good), np.inf, -good) if odd else -good, row))
+    row, at, good = row[order], at[order], good[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k] + first, at[place < k], good[place < k]
 
 
 def nearest(entities: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """(entity, index, sim, rank): each entity's k nodes of greatest cosine, ties to the smaller node index.
 
-    Entities (entity, vec) go in blocks of about BLOCK, nodes (index, vec) in parts of about PART; a task compares one of each by matrix
-    product and keeps the k best of each entity, so k rows an entity and part are shuffled, never all pairs."""
-    blocks, parts = max(1, -(-entities.count() // BLOCK)), max(1, -(-nodes.count() // PART))
+    Entities (entity, vec) go in blocks of about BLOCK, smaller ones where there are few, nodes (index, vec) in parts of about PART; a task compares
+    one of each by matrix product and keeps the k best of each entity, so k rows an entity and part are shuffled, never all pairs."""
+    n, slots = entities.count(), entities.sparkSession.sparkContext.defaultParallelism
+    blocks, parts = max(1, -(-n // BLOCK), min(slots, -(-n // LEAST))), max(1, -(-nodes.count() // PART))
     ent = entities.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
     dealt = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("index"), F.lit(parts)).cast("int"))
     spread = ent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -34,9 +58,9 @@ def nearest(entities: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
             return pd.DataFrame({"entity": [], "index": [], "sim": []})
         b = b.sort_values("index")
         x, y = (np.stack(t["vec"].to_numpy()).astype(np.float64) for t in (a, b))
-        sim = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"entity": np.repeat(a["entity"].to_numpy(), top.shape[1]), "index": b["index"].to_numpy()[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()})
+        x, y = (t / np.linalg.norm(t, axis=1, keepdims=True) for t in (x, y))
+        row, at, sim = (np.concatenate(t) for t in zip(*(best_columns(x, y, k, i) for i in range(0, len(x), ROWS)), strict=True))
+        return pd.DataFrame({"entity": a["entity"].to_numpy()[row], "index": b["index"].to_numpy()[at], "sim": sim})
 
     keys = ["block", "part"]
     found = spread.groupBy(keys).cogroup(dealt.groupBy(keys)).applyInPandas(best, f"entity {kind}, index long, sim double")

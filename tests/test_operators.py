@@ -13,7 +13,7 @@ from surestat import models
 from surestat.config import Parity, Settings
 from surestat.functions import numeric as N
 from surestat.functions import text as T
-from surestat.operators import evaluate, expansion, fusion, graph, sampling, tokens
+from surestat.operators import evaluate, expansion, fusion, graph, linking, sampling, tokens
 from surestat.plans import runs
 
 
@@ -217,6 +217,23 @@ def test_pagerank_of_a_larger_tree_stays_off_the_driver(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in want)
 
 
+def test_best_columns_equal_a_full_sort_without_one(monkeypatch):
+    pick = np.random.default_rng(5)
+    y = pick.normal(size=(1000, 8))
+    y[700:900] = y[:200]  # ties
+    y[33] = np.nan
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    x = np.concatenate([y[:60], y[650:720]])
+    monkeypatch.setattr(linking, "ROWS", 50)
+    sim = np.array([[(a * b).sum() for b in y] for a in x])
+    want = np.argsort(-sim, axis=1, kind="stable")[:, :5]
+    sort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *b, **c: pytest.fail("sorts all") if np.size(a) > 9999 else sort(a, *b, **c))
+    row, at, good = (np.concatenate(t) for t in zip(*(linking.best_columns(x, y, 5, i) for i in range(0, len(x), 50)), strict=True))
+    assert (row.reshape(-1, 5) == np.arange(len(x))[:, None]).all() and (at.reshape(-1, 5) == want).all()
+    assert np.array_equal(good.reshape(-1, 5), np.take_along_axis(sim, want, 1), equal_nan=True)
+
+
 def random_graph(spark, seed, nodes=40):
     pick = np.random.default_rng(seed)
     pairs = {(int(min(a, b)), int(max(a, b))) for a, b in pick.integers(0, nodes, (90, 2))}
