@@ -26,6 +26,8 @@ NOTES, LEAST_NOTES, STEP_BYTES = 32, 8, 1 << 19
 FIRST_TRY, TRY_EVERY, ROUNDING, CLEAN = 16, 6, 1e-16, 6
 #: Bytes of a block's column array; transitions in a packet that is dealt to tasks, its columns, and bytes of packets that are sorted at once.
 BLOCK_BYTES, PACKET, PART_BYTES = 64_000_000, 100_000, 100_000_000
+#: Longest vectors whose means are columns of one aggregation.
+COLUMNS = 128
 PACKED = {"src": np.int64, "dst": np.int64, "q": np.float64}
 
 _built: dict = {}
@@ -137,8 +139,14 @@ def anchors(starts: DataFrame, node_table: DataFrame, embeddings: DataFrame, spe
     known = starts.distinct().join(node_table.select("index", "id"), "index")
     known = known.withColumn("id", F.coalesce("id", F.col("index").cast("string")))
     known = known.join(embeddings.select(F.col("node_id").alias("id"), "vec"), "id", "left").join(special, "index", "left")
-    parts = known.where("vec IS NOT NULL").select("note", F.posexplode("vec").alias("at", "x"))
-    centroid = parts.groupBy("note", "at").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("note").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
+    held = known.where("vec IS NOT NULL")
+    size = embeddings.agg(F.max(F.size("vec"))).first()[0] or 0
+    if 0 < size <= COLUMNS:  # means by place combine before the shuffle, a row a start
+        means = F.array(*(F.avg(F.get("vec", F.lit(i)).cast("double")) for i in range(size)))
+        centroid = held.groupBy("note").agg(means.alias("means"), F.max(F.size("vec")).alias("size")).select("note", F.slice("means", F.lit(1), F.col("size")).alias("centroid"))
+    else:
+        parts = held.select("note", F.posexplode("vec").alias("at", "x"))
+        centroid = parts.groupBy("note", "at").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("note").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
     scored = known.join(centroid, "note", "left").select("note", "index", N.coherence(F.col("vec"), F.col("centroid")).alias("C"), F.coalesce("specificity", F.lit(1.0)).alias("S"))
     scored = scored.withColumn("W", N.anchor_weight(F.col("C"), F.col("S")))
     whole = Window.partitionBy("note")

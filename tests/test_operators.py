@@ -234,6 +234,19 @@ def test_best_columns_equal_a_full_sort_without_one(monkeypatch):
     assert np.array_equal(good.reshape(-1, 5), np.take_along_axis(sim, want, 1), equal_nan=True)
 
 
+def test_centroids_need_no_row_for_each_component(spark, monkeypatch):
+    starts = spark.createDataFrame([(n, i) for n in range(4) for i in range(n, n + 4)] + [(9, 3)], "note long, index long")
+    nodes = spark.createDataFrame([(i, f"P{i}") for i in range(8)], "index long, id string")
+    vectors = spark.createDataFrame([(f"P{i}", [float(i), 1.0 - i, None if i == 2 else 0.5][: 2 if i == 3 else 3]) for i in range(1, 7)], "node_id string, vec array<float>")
+    special = spark.createDataFrame([(i, 1.0 + i) for i in range(5)], "index long, specificity double")
+    get = lambda: {(r.note, r["index"]): tuple(round(x, 12) for x in (r.C, r.S, r.W, r.prob)) for r in graph.anchors(starts, nodes, vectors, special).collect()}
+    monkeypatch.setattr(graph, "COLUMNS", 0)
+    rows = get()
+    monkeypatch.undo()
+    monkeypatch.setattr(F, "posexplode", lambda *a: pytest.fail("a row for each component"))
+    assert get() == rows and len(rows) == 17 and len({x[0] for x in rows.values()}) > 3
+
+
 def random_graph(spark, seed, nodes=40):
     pick = np.random.default_rng(seed)
     pairs = {(int(min(a, b)), int(max(a, b))) for a, b in pick.integers(0, nodes, (90, 2))}
